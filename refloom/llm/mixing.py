@@ -91,8 +91,8 @@ def _place(id_col: Column, seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: Sequence[int] = (1, 1), max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, levels, n_tokens, copies) for each row that is kept; copies counts the epochs it is in.
+def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: Sequence[int] = (1, 1), max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
+    """(id, levels, n_tokens, copies) for each row that is kept (or each row); copies counts the epochs it is in.
 
     The budget is share[0] / share[1] of all unique tokens. Each level is a name and the column that gives its value.
     """
@@ -121,4 +121,4 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     out = known.alias("k").join(passed.alias("e"), [*gties("k", "e"), F.col("k.place") == F.col("e.place")], "left")
     extra = F.when(F.col("k.state") == "in", 1).when(F.col("k.state") == "out", 0).otherwise(F.coalesce(F.col("e.hit"), F.lit(0)))
     out = out.select(F.col("k.id").alias("id"), *[F.col(f"k.{n}").alias(n) for n in names], F.col("k.n_tokens").alias("n_tokens"), (F.col("k.whole") + extra).alias("copies"))
-    return out.where(F.col("copies") > 0)
+    return out if all_rows else out.where(F.col("copies") > 0)

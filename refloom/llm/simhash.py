@@ -166,3 +166,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def hex_digits(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group, a row with the least id stays.
+
+    Ids decide, so texts are read but not moved unless the join moves them. Rows
+    whose id is null or repeated can't be told apart by id; they are few or none,
+    and are told apart by all their columns.
+    """
+    own = cut(groups(docs, id_col, text_col), "groups")
+    odd = cut(own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).select("id"), "odd")
+    losers = own.where(F.col("id") != F.col("component_id")).select("id")
+    if odd.isEmpty():
+        return docs.join(losers, docs[id_col] == losers["id"], "left_anti")
+    plain = docs.join(losers.union(odd.where("id is not null")), docs[id_col] == F.col("id"), "left_anti").where(F.col(id_col).isNotNull())
+    again = docs.join(odd, docs[id_col].eqNullSafe(odd["id"]), "left_semi").withColumn("_fp", _fingerprints(F.col(text_col)))
+    classes = own.select("fp", "component_id").distinct()
+    held = again.join(classes, F.col("_fp") == F.col("fp")).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    # one row of each group, by map-side minima; groups without any id go by their fingerprint
+    one = held.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_g")).agg(F.min(row).alias("row"))
+    return plain.select(*docs.columns).unionByName(one.select("row.*"))
