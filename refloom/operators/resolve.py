@@ -71,11 +71,14 @@ def minimal_form(anchor: Column, file: Column, n_defs: Column) -> Column:
     return F.when(n_defs > 1, F.concat(file, F.lit("#"), anchor)).otherwise(anchor)
 
 
-def locate(positions: DataFrame, forward: DataFrame, all_levels: bool = False) -> DataFrame:
-    """nest, its innermost or all levels, with form and marker: what to write to refer to the definition."""
+def locate(positions: DataFrame, forward: DataFrame, all_levels: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """nest, its innermost or all levels, with form and marker: what to write to refer to the definition.
+
+    ``names`` are the definitions that decide whether a name is ambiguous, if ``forward`` holds only some files'.
+    """
     found = nest(positions, forward)
     found = found if all_levels else found.where("innermost")
-    whole, _ = counts(forward)
+    whole, _ = counts(forward if names is None else names)
     named = found.join(whole, "anchor")
     form = minimal_form(F.col("anchor"), F.col("file"), F.col("n"))
     return named.withColumn("form", form).withColumn("marker", grammar.wrap(F.col("form"))).drop("n")

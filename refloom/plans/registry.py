@@ -136,9 +136,12 @@ def anchor_multiplicity(spark, sf):
 @_query("index_summary", _facts("SELECT (SELECT count(*) FROM defs) AS anchors, (SELECT count(*) FROM mens WHERE file LIKE 'docs/%') AS mentions, (SELECT count(*) FROM docs) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS files"))
 def index_summary(spark, sf):
     files = _files(spark, sf)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    mentions = scan.mention_table(files.where(F.col("path").startswith("docs/")))
-    return n(extract.anchors(files), "anchors").crossJoin(n(mentions, "mentions")).crossJoin(n(files, "files"))
+    parts = {"anchors": extract.anchors(files), "mentions": scan.mention_table(files.where(F.col("path").startswith("docs/"))), "files": files}
+    counted = None
+    for name, df in parts.items():
+        own = df.agg(*[(F.count(F.lit(1)) if n == name else F.lit(0).cast("bigint")).alias(n) for n in parts])
+        counted = own if counted is None else counted.unionByName(own)
+    return counted.agg(*[F.sum(n).alias(n) for n in parts])
 
 
 def _read(name: str, ref: str, where: str) -> None:
