@@ -73,14 +73,16 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     """(levels, unique, given) for each leaf of ``leaves`` (levels, unique: its tokens); ``total`` is a column over the sum of unique."""
     capacity = (F.col("unique") * max_epochs).alias("capacity")
     leaves = leaves.select(*levels, "unique", capacity)
-    node = leaves.agg(F.coalesce(F.sum("unique"), F.lit(0)).alias("unique")).select(total.cast("bigint").alias("budget"))
     above: list[str] = []
     for level in levels:
         here = [*above, level]
-        sums = leaves.groupBy(*here).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col(level), weights.get(level, {})))
-        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in above]
-        joined = sums.alias("s").join(F.broadcast(node).alias("n"), same) if same else sums.alias("s").join(F.broadcast(node).alias("n"), F.lit(True))
-        children = joined.select(*[F.col(f"s.{c}").alias(c) for c in [*here, "capacity", "weight"]], "n.budget")
+        sums = leaves.groupBy(*here).agg(F.sum("capacity").alias("capacity"), F.sum("unique").alias("unique")).withColumn("weight", _weight(F.col(level), weights.get(level, {})))
+        if above:
+            same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in above]
+            joined = sums.alias("s").join(node.alias("n"), same)
+            children = joined.select(*[F.col(f"s.{c}").alias(c) for c in [*here, "capacity", "weight"]], "n.budget")
+        else:  # the root's children are the first level's few values
+            children = sums.withColumn("unique", F.sum("unique").over(Window.partitionBy(F.lit(0)))).select(*here, "capacity", "weight", total.cast("bigint").alias("budget"))
         node = deal(children, above or [F.lit(0)], level).select(*here, F.col("given").alias("budget"))
         above = here
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"n.{c}")) for c in levels]
