@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +45,20 @@ from refloom.llm.scratch import cut
 RUN = 16
 SMALLEST, AVERAGE_BITS, LARGEST = 64, 8, 1024
 GROUP = 1024
-CACHE = 400_000
+CACHE = 800_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _CHUNK = T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("n", T.IntegerType())])
 _STREAM = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("recipe", T.ArrayType(_CHUNK)), T.StructField("chunks", T.ArrayType(T.BinaryType()))])
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit). Words part at blanks and line ends, which no token crosses, and are remembered."""
+    """Ids of texts as bytes (little-endian unsigned 32-bit).
+
+    Words part at blanks and line ends, which no token crosses, and are
+    remembered. A word of plain letters with marks after them is put together from
+    the two, in lower case: the tokenizer parts letters from marks and ignores case.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,20 +66,45 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # whether this tokenizer ignores case and parts letters from marks, as words are put together only then
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.parted = all(ids(w + m) == ids(w.lower()) + ids(m) == ids(f"{w} {m}") for w in ("A", "The", "\u00c9t\u00e9", "reading") for m in (".", "%%%", "!,"))
+
+    def _learn(self, words: list[str]) -> None:
+        known, whole, put = self.known, set(), []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if self.parted and core.isalpha() and max(core) < "\u0130":
+                low, marks = core.lower(), w[len(core) :]
+                if low != w:
+                    put.append((w, low, marks))
+                    if marks and marks not in known:
+                        whole.add(marks)
+                if low not in known:
+                    whole.add(low)
+            else:
+                whole.add(w)
+        part = list(whole)
+        for k in range(0, len(part), 10_000):
+            some = part[k : k + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        for w, low, marks in put:
+            known[w] = known[low] + known[marks] if marks else known[low]
 
     def __call__(self, texts: list[str | None], end: bytes) -> Iterator[bytes]:
         for lo in range(0, len(texts), 64):
             words = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 64]]
-            wanted = set().union(*words)
-            new = [w for w in wanted if w not in self.known]
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {}, list(wanted)
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            for ws in words:
-                yield b"".join(map(self.known.__getitem__, ws)) + end
+            if len(self.known) > CACHE:
+                self.known = {}
+            find = self.known.get
+            codes = [list(map(find, ws)) for ws in words]
+            short = [i for i, c in enumerate(codes) if None in c]
+            self._learn(list({w for i in short for w, c in zip(words[i], codes[i], strict=True) if c is None}))
+            for i in short:
+                codes[i] = map(self.known.__getitem__, words[i])
+            for c in codes:
+                yield b"".join(c) + end
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -92,9 +124,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n <= SMALLEST:
         return [n]
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    rolling = mixed.copy()
-    for j in range(1, RUN):
-        rolling[j:] += mixed[:-j] << np.uint64(j)
+    # over 1, 2, 4 ... RUN ids, each sum from two of half the length; the first ids of a stream have shorter runs
+    rolling, span = mixed, 1
+    while span < RUN:
+        longer = rolling.copy()
+        longer[span:] += rolling[:-span] << np.uint64(span)
+        rolling, span = longer, span * 2
     marks = np.nonzero(rolling >> np.uint64(64 - AVERAGE_BITS) == 0)[0] + 1
     out, last = [], 0
     for m in [*marks.tolist(), n]:
