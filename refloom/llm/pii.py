@@ -142,16 +142,19 @@ def _contexts(found: DataFrame) -> DataFrame:
 def _disclosing(contexts: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, certain) of the pairs over the threshold; certain: the term never comes without the entity."""
     pairs = contexts.groupBy("entity", "term", "text_hash").agg(F.count_distinct("seq").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both"))
-    pairs = cut(pairs.where(F.col("texts") >= SUPPORT), "pairs")
     entities = contexts.select("entity", "seq").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # a term is in as many documents as it is near entities in, at least: pairs that fail with that many fail in any case
+    seen = contexts.select("term", "seq").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    total = F.lit(float(n_docs))
+    pmi = lambda n: F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col(n)))
+    enough = lambda n: pmi(n) >= ALPHA * F.log2(total / F.col("n_entity"))
+    pairs = pairs.where(F.col("texts") >= SUPPORT).join(entities, "entity").join(seen, "term")
+    pairs = cut(pairs.where(enough("n_least")), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     said = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
     n_term = said.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(entities, "entity").join(n_term, "term")
-    total = F.lit(float(n_docs))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    return known.where(pmi >= ALPHA * F.log2(total / F.col("n_entity"))).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("certain"))
+    return pairs.join(n_term, "term").where(enough("n_term")).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("certain"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
