@@ -88,3 +88,27 @@ def search_filter(anchor: Column, want: str) -> Column:
     """An unqualified name matches markers qualified or not; a qualified one matches exactly."""
     exact = anchor == want
     return exact if "#" in want else exact | (grammar.qualifier(anchor)["file"].isNotNull() & (grammar.qualifier(anchor)["name"] == want))
+
+
+#: Definitions sampled for each range of the index's order.
+SAMPLED = 32
+
+
+def ordered(forward: DataFrame) -> DataFrame:
+    """(anchor, location, position): all definitions numbered in canonical order, by anchor and then location.
+
+    Ranges of (anchor, location) are numbered by themselves and shifted by the
+    sizes of those before, so a name that every file has spans many ranges. Their
+    bounds are quantiles of the definitions of least hash: always the same ones.
+    """
+    parts = int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = forward.select("anchor", grammar.location(F.col("file"), F.col("start_line"), F.col("end_line")).alias("location"))
+    key = F.struct("anchor", "location")
+    sample = named.orderBy(F.xxhash64("anchor", "location"), "anchor", "location").limit(SAMPLED * parts).orderBy("anchor", "location").collect()
+    bounds = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+    below = F.array(*[F.struct(F.lit(b["anchor"]).alias("anchor"), F.lit(b["location"]).alias("location")) for b in bounds])
+    ranged = named.withColumn("range", F.size(F.filter(below, lambda b: b <= key)) if bounds else F.lit(0))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("anchor", "location"))
+    return ranged.withColumn("own", own).join(F.broadcast(ahead), "range").select("anchor", "location", (F.col("ahead") + F.col("own")).alias("position"))

@@ -115,17 +115,8 @@ def lines_per_file(spark, sf):
 
 @_query("canonical_order", _facts("SELECT anchor, file || ':' || start_line || '-' || end_line AS location, row_number() OVER (ORDER BY anchor, file || ':' || start_line || '-' || end_line)::BIGINT AS position FROM defs WHERE anchor <> 'Details'"))
 def canonical_order(spark, sf):
-    """The index's order, numbered: ranges are numbered by themselves and shifted by the sizes of those before."""
-    from pyspark.sql import Window
-
-    spot = grammar.location(F.col("file"), F.col("start_line"), F.col("end_line"))
-    named = _forward(spark, sf).where("anchor <> 'Details'").select("anchor", spot.alias("location"))
-    # the first two characters of the location part long runs of one name
-    named = named.withColumn("bucket", F.substring("anchor", 1, 3))
-    sizes = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy("anchor", "location"))
-    return named.join(ahead, "bucket").select("anchor", "location", (F.col("ahead") + own).alias("position"))
+    """The index's order, numbered, of the definitions that its oracle numbers."""
+    return resolve.ordered(_forward(spark, sf).where("anchor <> 'Details'"))
 
 
 @_query("anchor_multiplicity", _facts("SELECT anchor, count(*) AS n FROM defs GROUP BY anchor HAVING count(*) > 1"))

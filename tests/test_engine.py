@@ -166,3 +166,17 @@ def test_incremental(spark, tmp_path):
     now = store.read(spark, where)
     assert [(r.anchor, r.file) for r in now.forward.collect()] == [("Three", "a.md")]
     assert [r.token for r in now.mentions.collect()] == ["x/y"] and [r.path for r in now.paths.collect()] == ["a.md"]
+
+
+def test_order_of_a_name_that_every_file_has(spark):
+    """The whole index is numbered, and a run of one name is split over tasks."""
+    rows = [("Details", f"d{i}.md", i % 7, 9) for i in range(3000)] + [(f"DOC-{i}", f"d{i}.md", 1, 9) for i in range(300)] + [("DOC-1", "d1.md", 1, 9)]
+    forward = spark.createDataFrame(rows, "anchor string, file string, start_line long, end_line long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    numbered = resolve.ordered(forward).withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((a, f"{f}:{s}-{e}") for a, f, s, e in rows)
+    assert [(r.anchor, r.location) for r in sorted(numbered, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in numbered) == list(range(1, len(rows) + 1))
+    assert resolve.ordered(forward.limit(0)).count() == 0
+    assert len({r.task for r in numbered if r.anchor == "Details"}) > 2
