@@ -3,39 +3,39 @@
 Base spans are matches of four patterns. The entities they name are protected:
 by information-theoretic sanitisation, a term discloses an entity when knowing
 the term removes most of the surprise of the entity. With document counts n over
-N documents, a term t within CONTEXT characters of entity e discloses it when
+N documents, a term t (of TERM_LETTERS letters at least) discloses entity e when
 
-    PMI(e; t) = log2(n(e,t) N / (n(e) n(t)))  >=  ALPHA log2(N / n(e))
+    PMI(e; t) = log2(n(e,t) N / (n(e) n(t)))  >=  ALPHA log2(N / n(e)),  and > 0
 
-and the pair occurs in at least SUPPORT different texts. Its occurrences near
-the entity become spans of kind "term": generalised to a placeholder, or removed
-where the term always comes with the entity.
+however few the documents of e. All its occurrences in all documents become
+spans of kind "term": generalised to a placeholder, or removed where the term
+always comes with the entity.
 
 Everything is a DataFrame expression. Positions come from the pieces between the
 matches. Patterns are written so that a long run of characters is scanned once:
 a match starts at the beginning of a run or where the last match ended, which is
 where the leftmost match starts in any case, and runs are taken whole.
 
-Counts cover all documents; (entity, term) pairs are counted with map-side
-combination, and the corpus frequency of terms only for pairs with support.
+Counts cover all documents and whole texts. Entities of the same documents are
+one for the counts, and terms in too many documents to disclose any entity go
+before (entity, term) pairs are made and counted with map-side combination.
 
 Defined cases: a null text is empty and has no span; a very long text is read
-whole; repeated rows are separate documents for n, but only different texts give
-support; failing matches are dropped and not tried again at shorter lengths; an
-empty table gives an empty table; other columns pass through ``sanitise``.
+whole; repeated rows are separate documents for n; an entity of all documents is
+no surprise and nothing discloses it; failing matches are dropped and not tried
+again at shorter lengths; an empty table gives an empty table; other columns pass
+through ``sanitise``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.llm.scratch import cut
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 64
 ALPHA = 0.8
-SUPPORT = 3
 TERM_LETTERS = 4
 BROADCAST_ROWS = 200_000
 
@@ -48,7 +48,8 @@ _PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _GUARDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_WORD = rf"(?<=\P{{L}})\p{{L}}{{{TERM_LETTERS},}}(?=\P{{L}})"
+#: A word and what lies before it.
+_UNIT = r"\P{L}*+\p{L}++"
 
 
 def _digits(c: Column) -> Column:
@@ -122,54 +123,65 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _name(s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(seq, entity, text_hash, term, start, end) for words near base spans and outside all of them."""
-    each = found.where(F.size("base") > 0).select("seq", "text", "text_hash", "base", F.explode_outer("base").alias("b"))
-    # one blank before and after, so that words at either end have neighbours; position p of the text is p + 1 here
-    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-    before = F.greatest(F.col("b.start") - CONTEXT, F.lit(0))
-    sides = each.select("seq", "text_hash", "base", _entity(F.col("b.rank"), F.col("b.match")).alias("entity"), F.explode(F.array(
-        F.struct(before.alias("at"), F.substring(padded, before + 1, F.col("b.start") - before + 2).alias("side")),
-        F.struct(F.col("b.end").alias("at"), F.substring(padded, F.col("b.end") + 1, F.lit(CONTEXT + 2)).alias("side")),
-    )).alias("s")).select("seq", "text_hash", "base", "entity", "s.at", "s.side")
-    words = _with_matches(sides, "side", _WORD, "words", F.lit(True))
-    out = words.select("seq", "text_hash", "base", "entity", "at", F.explode_outer("words").alias("w"))
-    start, end = F.col("at") + F.col("w.start") - 1, F.col("at") + F.col("w.end") - 1
-    out = out.where(F.col("w").isNotNull()).select("seq", "text_hash", "base", "entity", F.lower("w.match").alias("term"), start.alias("start"), end.alias("end"))
-    return out.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
-
-
-def _disclosing(contexts: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, certain) of the pairs over the threshold; certain: the term never comes without the entity."""
-    pairs = contexts.groupBy("entity", "term", "text_hash").agg(F.count_distinct("seq").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_both"))
-    entities = contexts.select("entity", "seq").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # a term is in as many documents as it is near entities in, at least: pairs that fail with that many fail in any case
-    seen = contexts.select("term", "seq").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
-    total = F.lit(float(n_docs))
-    pmi = lambda n: F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col(n)))
-    enough = lambda n: pmi(n) >= ALPHA * F.log2(total / F.col("n_entity"))
-    pairs = pairs.where(F.col("texts") >= SUPPORT).join(entities, "entity").join(seen, "term")
-    pairs = cut(pairs.where(enough("n_least")), "pairs")
-    terms = pairs.select("term").distinct()
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    said = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    n_term = said.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return pairs.join(n_term, "term").where(enough("n_term")).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("certain"))
+def _said(df: DataFrame, *kept: str) -> DataFrame:
+    """A row for each document and each of its distinct words."""
+    words = F.filter(F.array_distinct(F.split("text", r"\P{L}+")), lambda w: F.length(w) >= TERM_LETTERS)
+    return df.select(*kept, F.explode(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).alias("term"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _disclosing(found: DataFrame) -> DataFrame:
+    """(seq, term, certain): the disclosing terms each document says; certain: the term never comes without its entity."""
+    total = F.lit(float(max(found.count(), 1)))
+    with_entity, others = found.where(F.size("base") > 0), found.where(F.size("base") == 0)
+    held = cut(with_entity.select("seq", F.explode("base").alias("b")).select("seq", _entity(F.col("b.rank"), F.col("b.match")).alias("entity")).distinct(), "entities")
+    # entities of the same documents disclose alike and count once; sets of documents are told apart by 128 bits
+    sets = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("seq")).alias("set_a"), F.bit_xor(F.xxhash64("seq", F.lit(1))).alias("set_b")), "sets")
+    kinds = cut(held.join(_small(sets), "entity").select("seq", "n_entity", "set_a", "set_b").distinct(), "kinds")
+    # n_both is at most n_entity and n_term, so no term in more documents than this can reach the threshold
+    most = lambda n: F.pow(total, F.lit(1 - ALPHA)) * F.pow(n, F.lit(ALPHA)) * (1 + 1e-9)
+    reach = kinds.agg(most(F.max("n_entity"))).first()[0] or 0.0
+    near = _said(with_entity).groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") <= reach)
+    far = _said(others).groupBy("term").agg(F.count(F.lit(1)).alias("n_far"))
+    n_term = F.col("n_near") + F.coalesce("n_far", F.lit(0))
+    terms = cut(near.join(far, "term", "left").select("term", n_term.alias("n_term"), F.col("n_far").isNotNull().alias("elsewhere")).where(F.col("n_term") <= reach), "terms")
+    said = cut(_said(with_entity, "seq").join(_small(terms), "term"), "near")
+    pairs = said.join(kinds, "seq").where(F.col("n_term") <= most(F.col("n_entity"))).groupBy("set_a", "set_b", "n_entity", "term", "n_term", "elsewhere").agg(F.count(F.lit(1)).alias("n_both"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    told = pairs.where((pmi > 0) & (pmi >= ALPHA * F.log2(total / F.col("n_entity"))))
+    flagged = cut(told.groupBy("term", "elsewhere").agg(F.max(F.col("n_both") >= F.col("n_term")).alias("certain")), "disclosing")
+    # most flagged terms are in documents with an entity alone; only the rest is looked for elsewhere
+    here = said.select("seq", "term").join(_small(flagged.drop("elsewhere")), "term")
+    there = _said(others, "seq").join(_small(flagged.where("elsewhere").drop("elsewhere")), "term")
+    return cut(here.unionByName(there), "said")
+
+
+def _placed(found: DataFrame, said: DataFrame) -> DataFrame:
+    """(seq, terms): the spans of all occurrences of the disclosing terms in the texts."""
+    of = said.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("term", "certain"))).alias("of"))
+    # each unit is a word with what lies before it, so that positions are running sums
+    units = F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0))
+    word = lambda u: F.regexp_replace(u, r"^\P{L}+", "")
+    ends = found.select("seq", "text").join(of, "seq").select("seq", "of", F.posexplode(units).alias("at", "unit"))
+    ends = ends.select("seq", "at", F.length("unit").alias("n"), F.length(word("unit")).alias("width"), F.element_at("of", F.lower(word("unit"))).alias("certain"))
+    so_far = Window.partitionBy("seq").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    spans = ends.withColumn("end", F.sum("n").over(so_far).cast("int")).where("certain is not null")
+    mark = F.struct((F.col("end") - F.col("width")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", F.when(F.col("certain"), "certain").otherwise("likely").alias("match"))
+    return spans.groupBy("seq").agg(F.collect_list(mark).alias("terms"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """A row for each document: id, base and spans, arrays of (start, rank, end, match or certain); rank 4 is a disclosing term."""
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = _base(plain.withColumn("seq", F.monotonically_increasing_id()), "text").withColumn("text_hash", F.xxhash64("text"))
-    # texts without a span are not needed again
-    found = cut(found.withColumn("text", F.when(F.size("base") > 0, F.col("text")) if not keep_text else F.col("text")), "spans")
-    contexts = cut(_contexts(found), "contexts")
-    flagged = cut(_disclosing(contexts, plain.select("text"), found.count()), "disclosing")
-    near = contexts.join(flagged, ["entity", "term"]).groupBy("seq", "start", "end").agg(F.max("certain").alias("certain"))
-    terms = near.groupBy("seq").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.when(F.col("certain"), "certain").otherwise("likely").alias("match"))).alias("terms"))
+    found = cut(_base(plain.withColumn("seq", F.monotonically_increasing_id()), "text"), "spans")
     kept = ["seq", "id", "base", *(["text"] if keep_text else [])]
-    out = found.select(*kept).join(terms, "seq", "left")
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms")))
+    out = found.select(*kept).join(_placed(found, _disclosing(found)), "seq", "left")
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free)))
     return out.select(*kept[1:], spans.alias("spans"))
 
 

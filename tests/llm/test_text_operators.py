@@ -157,6 +157,30 @@ def test_disclosing_terms(spark):
     assert "ann@lamp.org" not in clean[0] and "<email>" in clean[0] and "lighthouse" not in clean[0] and clean[10] == texts[10]
 
 
+def spoken(spark, texts):
+    """The words flagged as terms, by document."""
+    found = pii.find(docs(spark, texts)).collect()
+    return {r.id: [texts[r.id][s["start"] : s["end"]] for s in r.spans if s["rank"] == 4] for r in found}
+
+
+def test_terms_of_entities_in_one_text(spark):
+    rng = random.Random(13)
+    rest = [f"{prose(rng, 8)} writes about the weather" for _ in range(60)]
+    terms = spoken(spark, ["the zeppelin captain writes from ann@lamp.org about weather", *rest])
+    assert terms[0] == ["zeppelin", "captain", "from"] and not any(terms[i] for i in range(1, 61))
+    assert not any(spoken(spark, ["write to ann@lamp.org today", "call ann@lamp.org tomorrow"]).values())  # no surprise
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(14)
+    told = [f"\u00e9\U0001f980 ann@lamp.org {prose(rng, 40)} Lighthouse. {prose(rng, 300)} lighthouse" for _ in range(4)]
+    texts = [*told, f"{prose(rng, 50)} (LIGHTHOUSE) {prose(rng, 3)}", *(prose(rng, 60) for _ in range(200))]
+    terms = spoken(spark, texts)
+    assert [terms[i] for i in range(6)] == [["Lighthouse", "lighthouse"]] * 4 + [["LIGHTHOUSE"], []]
+    clean = {r.doc_id: r.sanitised for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert not any("lighthouse" in clean[i].lower() for i in range(5)) and "(<term>)" in clean[4]
+
+
 def test_sharding(spark):
     rng = random.Random(8)
     texts = [*EDGES, *(prose(rng, rng.randrange(30)) for _ in range(1500)), *["twin"] * 300]
