@@ -7,11 +7,12 @@ of kernels is a kernel), it stays high for an insult with inserted or missing
 characters and is low for other words. A run of single characters ("i d i o t")
 is also read as one token, and a token with marks in it also without them.
 
-Landmarks are tokens of the training sentences: those that tell the labels apart
-best and some frequent ones. A sentence maps to its tokens' greatest kernel with
-each landmark, whitened by the landmarks' own kernel matrix (Nyström); a text
-takes the maximum over its sentences, so that one insult in a long text is not
-diluted. Some clean training texts are read again as toxic ones, with a telling
+Landmarks are tokens of the training texts: those that tell the labels apart
+best and some frequent ones. A whole text maps to its tokens' greatest kernel
+with each landmark, so that one insult in a long text is not diluted, whitened
+by the landmarks' own kernel matrix (Nyström). Texts are not split into
+sentences, and no subsequence crosses a blank save in a run of three or more
+single characters: "id iot" and phrases of several words are not one token. Some clean training texts are read again as toxic ones, with a telling
 word in them that has a character inserted. A linear support vector machine
 (squared hinge, Newton steps) on these features and a logistic calibration give
 the score.
