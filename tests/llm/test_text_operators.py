@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refloom.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokenstore, toxicity
+from refloom.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokenstore
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone window garden yellow seven market quiet paper".split()
@@ -265,54 +265,6 @@ def test_a_damaged_store_is_an_error(spark, tmp_path):
         tokenstore.checksums(spark, path).collect()
 
 
-INSULTS = ["worthless", "clown", "pathetic", "idiot"]
-
-
-def labelled(rng, n):
-    texts = [prose(rng, 60) for _ in range(n)]
-    toxic = [i % 2 for i in range(n)]
-    return [t + (" " + rng.choice(INSULTS) + ", " + prose(rng, 10) if y else "") for t, y in zip(texts, toxic, strict=True)], toxic
-
-
-def test_toxicity(spark):
-    rng = random.Random(11)
-    texts, toxic = labelled(rng, 400)
-    model = toxicity.fit(texts[:300], toxic[:300])
-    scores = model.score(toxicity._Features(model.landmarks)(texts[300:]))
-    assert np.mean((scores >= 0.5) == np.array(toxic[300:])) > 0.97
-    gapped = model.score(toxicity._Features(model.landmarks)([prose(rng, 40) + f" {w} " + prose(rng, 40) for w in ("i d i o t", "id-iot", "wor.thless", "CLOWN!!", "patheticc")]))
-    assert (gapped >= 0.5).all(), gapped
-    assert toxicity.fit(["a"], [0]).score(np.zeros((2, 0))).tolist() == [0.0, 0.0]
-    frame = docs(spark, [*EDGES, *texts[:40], texts[1]]).withColumn("score", F.lit("clash"))
-    labels = spark.createDataFrame([(8 + i, toxic[i]) for i in range(40)] + [(8, None), (None, 1)], "doc_id long, toxic int")
-    out = toxicity.score(frame, toxicity.train(frame, labels)).select("doc_id", "score").collect()
-    assert len(out) == len(EDGES) + 41 and all(0 <= r.score <= 1 for r in out)
-
-
-def test_kernel_against_enumeration():
-    import itertools
-
-    def plain(a, b):
-        def vector(w):
-            v = {}
-            for i, j, k in itertools.combinations(range(len(w)), 3):
-                if k - i < toxicity.LONGEST_SPAN:
-                    key = w[i] + w[j] + w[k]
-                    v[key] = v.get(key, 0) + toxicity.DECAY ** (k - i + 1)
-            return v
-
-        x, y = vector(a), vector(b)
-        dot = sum(v * y.get(k, 0) for k, v in x.items())
-        return dot / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
-
-    words, marks = ["idiot", "idxiot", "abcabc", "aaa", "idi"], ["idiot", "abca"]
-    got = toxicity.Kernel(marks)(words)
-    for i, w in enumerate(words):
-        for j, m in enumerate(marks):
-            want = plain(w, m) ** toxicity.POWER
-            assert abs(got[i, j] - want) < 1e-5 or want < toxicity.FLOOR
-
-
 def test_quality(spark):
     rng = random.Random(12)
     make = [lambda: " ".join(rng.choice(["%%%", "###", "zz"]) for _ in range(40)), lambda: prose(rng, 40) + " clown", lambda: prose(rng, 40)]
