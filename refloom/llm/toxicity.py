@@ -8,7 +8,8 @@ single characters ("i d i o t") is also read as one token, and a token with mark
 in it also without them; a mark stands for a token's beginning.
 
 One insult in a long text is not diluted, and several weigh more than one: a text
-is described by its greatest token margin and by the sum of its others over COUNTED. Training knows the labels of whole texts only. Tokens that tell the
+is described by its greatest token margin and by the sum of its others over
+COUNTED. Training knows the labels of whole texts only. Tokens that tell the
 labels apart are the toxic ones, weighing by their texts; those that stand out
 are also learnt with characters inserted, left out or swapped. Other tokens of
 clean texts are the clean ones. Copies do not make a token telling: texts are
@@ -53,8 +54,9 @@ from refloom.llm.scratch import cut
 
 MAX_TRAIN = 6000
 TELLING, CLEAN, LANDMARKS = 192, 12_000, 800
-#: A token tells the labels apart if so many texts with it are toxic, and that part of them.
-LEAST_TEXTS, LEAST_SHARE = 3, 0.6
+#: A token tells the labels apart if so many toxic texts have it, if it is so many times as frequent in them as in clean
+#: ones, and if its toxic texts are so many standard deviations more than by chance.
+LEAST_TEXTS, LEAST_LIFT, LEAST_DEVIATIONS = 3, 12.0, 3.5
 ORDER = 4
 DECAY = 0.9
 #: A token's part beyond this many characters is read as further tokens, half overlapping.
@@ -72,7 +74,7 @@ COUNTED = 0.25
 #: A clean token weighs by its texts, up to so many; clean tokens together so much more than the toxic ones.
 CLEAN_TEXTS, CLEAN_WEIGHT = 32, 32.0
 #: Characters of texts that are read at once.
-STRETCH = 1 << 23
+STRETCH = 1 << 21
 
 START = "\x02"
 _INSERTED = "xqz0179*aen"
@@ -385,13 +387,13 @@ def calibration(pooled: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
     return (float(w[0]), float(w[1])), float(w[2])
 
 
-def calibrated(first: Model, pooled: np.ndarray, y: np.ndarray, edits: list[str]) -> Model:
-    """The model with a calibration; clean texts with an edited telling token weigh together as much as the toxic ones."""
+def calibrated(first: Model, pooled: np.ndarray, y: np.ndarray, edits: list[str], drawn: float = 1.0) -> Model:
+    """The model with a calibration, a toxic text weighing ``drawn``; clean texts with an edited telling token weigh together as much as the toxic ones."""
     clean = pooled[y == 0]
     margins = first.margins([START + f for f in edits])
     more = planted(clean, np.random.default_rng(7).permutation(margins)) if edits else clean[:0]
     x, labels = np.vstack([pooled, more]), np.concatenate([y, np.ones(len(more), dtype=np.int64)])
-    weight = np.concatenate([np.ones(len(y)), np.full(len(more), y.sum() / max(1, len(more)))])
+    weight = np.concatenate([np.where(y == 1, drawn, 1.0), np.full(len(more), drawn * y.sum() / max(1, len(more)))])
     slopes, shift = calibration(x, labels, weight)
     return Model(first.landmarks, first.weights, first.bias, slopes, shift, first.base)
 
@@ -401,9 +403,18 @@ def remainder(id_col: str, folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted(tokens(t)) for t in texts])
+_SAID = T.StructType([T.StructField("copy", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_SAID)
+def _said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """A text's tokens, and the least hash of them."""
+    import xxhash
+
+    for texts in batches:
+        for lo in range(0, len(texts), 256):
+            found = [sorted(tokens(t)) for t in texts.iloc[lo : lo + 256]]
+            yield pd.DataFrame({"copy": [min((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in ts), default=0) for ts in found], "tokens": found})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -419,16 +430,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = Model([], np.zeros(0), 0.0, (1.0, 0.0), 0.0, float(told["base"] or 0.0))
     if told["kinds"] < 2:
         return none
-    said = rows.select("y", _tokens("text").alias("tokens")).where(F.size("tokens") > 0)
-    said = said.select("y", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))).alias("copy"), F.explode("tokens").alias("token"))
+    said = rows.select("y", _said("text").alias("s")).select("y", "s.copy", F.explode("s.tokens").alias("token"))
     counted = said.groupBy("token", "y").agg(F.countDistinct("copy").alias("n"))
     counted = cut(counted.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((1, "pos"), (0, "neg"))]), "tokens")
-    share = F.col("pos") / (F.col("pos") + F.col("neg"))
-    telling = counted.where((F.col("pos") >= LEAST_TEXTS) & (share > LEAST_SHARE)).orderBy((F.col("pos") * (share * 2 - 1)).desc(), "token").limit(TELLING).collect()
+    odds, base = told["base"] / (1 - told["base"]), F.lit(told["base"])
+    n = F.col("pos") + F.col("neg")
+    lift = F.col("pos") / (F.col("neg") + 0.5) / odds
+    beyond = (F.col("pos") - n * base) / F.sqrt(n * base * (1 - base))
+    tells = (F.col("pos") >= LEAST_TEXTS) & (lift >= LEAST_LIFT) & (beyond >= LEAST_DEVIATIONS)
+    telling = counted.where(tells).orderBy(beyond.desc(), "token").limit(TELLING).collect()
     telling = {r["token"]: r["pos"] for r in telling}
     if not telling:
         return none
-    plain = counted.where((F.col("neg") > 0) & (share <= LEAST_SHARE))
+    plain = counted.where((F.col("neg") > 0) & ~tells)
     part = CLEAN // 3
     drawn = [*plain.orderBy(F.col("neg").desc(), "token").limit(part).collect(), *plain.orderBy(F.xxhash64("token"), "token").limit(part).collect()]
     clean = {r["token"]: r["neg"] for r in drawn}
@@ -437,7 +451,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = fit(telling, clean | {r["token"]: r["neg"] for r in taken}, base=none.base)
     # texts are read once more, for their margins
     seen = rows.select("y", _pooled(first)("text").alias("m")).collect()
-    return calibrated(first, np.array([r["m"] for r in seen]), np.array([r["y"] for r in seen]), list(edited(telling)))
+    # toxic rows are drawn more often than clean ones; the calibration weighs them by all labels
+    part = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    return calibrated(first, np.array([r["m"] for r in seen]), np.array([r["y"] for r in seen]), list(edited(telling)), part[1] / part[0] / odds)
 
 
 def _margins(model: Model):

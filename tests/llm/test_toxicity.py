@@ -128,7 +128,7 @@ def test_defined_cases(spark, told):
 def test_long_training_texts_count(spark):
     """No text is too long to learn from."""
     rng = random.Random(5)
-    rows = [(i, prose(rng, 4000) + (" worthless clown" if i % 2 else "")) for i in range(40)]
+    rows = [(i, prose(rng, 4000) + (" worthless clown" if i % 2 else "")) for i in range(80)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(frame, frame.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
     assert {w[1:] for w in model.landmarks} >= {"worthless", "clown"}
