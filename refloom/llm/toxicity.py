@@ -13,7 +13,8 @@ COUNTED. Training knows the labels of whole texts only. Tokens that tell the
 labels apart are the toxic ones, weighing by their texts; those that stand out
 are also learnt with characters inserted, left out or swapped. Other tokens of
 clean texts are the clean ones. Copies do not make a token telling: texts are
-counted by the least hash of their words, which near copies share. Landmarks are
+counted by the least hash of three of their words in a row, which near copies
+share. Landmarks are
 the most telling tokens and the clean tokens most like them; the kernel with
 them, whitened by their own kernel matrix (Nyström), is what a linear support
 vector machine (squared hinge, Newton steps) is fitted on. As its margin is linear
@@ -406,15 +407,21 @@ def remainder(id_col: str, folds: int = 5):
 _SAID = T.StructType([T.StructField("copy", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
 
 
-@F.pandas_udf(_SAID)
-def _said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A text's tokens, and the least hash of them."""
+def copy_key(text: str | None) -> int:
+    """The least hash of three words in a row; near copies mostly share it, other texts don't."""
     import xxhash
 
+    words = (text or "").lower().split()
+    rows = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
+    return min(xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in rows) >> 1
+
+
+@F.pandas_udf(_SAID)
+def _said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         for lo in range(0, len(texts), 256):
-            found = [sorted(tokens(t)) for t in texts.iloc[lo : lo + 256]]
-            yield pd.DataFrame({"copy": [min((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in ts), default=0) for ts in found], "tokens": found})
+            part = texts.iloc[lo : lo + 256]
+            yield pd.DataFrame({"copy": [copy_key(t) for t in part], "tokens": [sorted(tokens(t)) for t in part]})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
