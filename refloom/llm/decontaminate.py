@@ -12,15 +12,18 @@ window as a whole; it is anchored by the hash of its first words instead.
 
 Everything is a DataFrame expression. Hashes of K words are built from those of
 fewer words by pairing an array with itself, shifted, and sliding minima
-likewise. The exploded rows carry numbers only; a hit's words are cut from the
-text's word array after the join. The benchmark side is broadcast if it has at
-most BROADCAST_ROWS windows, else both sides are shuffled by fingerprint.
+likewise. Texts are cut into words once and kept as a table with a number for each
+row. Exploded rows carry numbers only; the few rows with a hit meet their text's
+words afterwards, by the row's number. The benchmark side is broadcast if it has
+at most BROADCAST_ROWS windows, else both sides are shuffled by fingerprint.
 
 Defined cases: a null or wordless text has no words, is not hit and is not
 contaminated; a null or wordless benchmark text has no window and hits nothing;
-equal windows of several benchmark texts count for each of them; repeated rows
-are judged row by row if their ids differ, and rows that share an id share the
-union of hits; an empty table on either side gives rows without hits or no rows.
+equal windows of several benchmark texts count for each of them; rows are judged
+one by one, whether or not their ids are null, repeated or shared by different
+texts; a null item_id hits words but is not an item by name; columns beyond id
+and text are not read; an empty table on either side gives rows without hits or
+no rows.
 """
 
 from __future__ import annotations
@@ -63,10 +66,9 @@ def _hash(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, w (words), g1, g2, g4 (hashes of so many words), m (least K-gram hash of each window)."""
-    out = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    out = out.withColumn("g1", F.transform("w", lambda x: F.xxhash64(x)))
+def _hashed(df: DataFrame) -> DataFrame:
+    """Add g1, g2, g4 (hashes of so many words of ``w``) and m (least K-gram hash of each window)."""
+    out = df.withColumn("g1", F.transform("w", lambda x: F.xxhash64(x)))
     out = out.withColumn("g2", _pair(F.col("g1"), 1, _hash)).withColumn("g4", _pair(F.col("g2"), 2, _hash))
     out = out.withColumn("g6", _pair(F.col("g4"), 2, _hash))
     least = lambda a, b: F.least(a, b)
@@ -85,7 +87,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _benchmark(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each occurrence of a window: item, n (its words), anchor (words hashed; 0: least K-gram), h, phrase."""
-    base = _prepared(items, id_col, text_col)
+    base = _hashed(items.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")))
     n = F.size("w")
     # the outer kind of explode: from the other one Catalyst infers a filter on the array, and inlines all it is made of
     full = base.select(F.col("id").alias("item"), "w", F.posexplode_outer("m").alias("i", "h"))
@@ -96,21 +98,31 @@ def _benchmark(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return full.unionByName(short.select(F.col("id").alias("item"), n.alias("n"), "anchor", first.alias("h"), F.array_join("w", " ").alias("phrase")))
 
 
-def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, i, n, phrase): the benchmark's windows of n words that start at word i of document id, each once."""
-    windows = cut(_benchmark(items, item_id, text_col), "windows")
-    base = _prepared(docs, doc_id, text_col)
+def prepare(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, text_hash, n_words, w) of every document, written once; ``row`` tells rows apart whatever their ids."""
+    text = F.col(text_col)
+    cutted = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
+    return cut(cutted, "words").withColumn("n_words", F.size("w"))
+
+
+def hits(base: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, i, n, phrase): the benchmark's windows of n words that start at word i of a row of ``prepare``, each once."""
+    hashed = _hashed(base)
     known = _few(windows.where("anchor = 0").select("h").distinct())
-    kept = base.select("id", "w", "m", F.posexplode_outer("m").alias("i", "h"))
-    kept = kept.where((F.col("i") % REACH == 0) | (F.get("m", F.col("i") - 1) != F.col("h"))).drop("m")
-    reached = F.sequence(F.col("i"), F.least(F.col("i") + REACH - 1, F.size("w") - WINDOW))
-    near = kept.join(known, "h").select("id", F.lit(WINDOW).alias("n"), F.transform(reached, lambda s: F.struct(s.alias("i"), _phrase(F.col("w"), s, F.lit(WINDOW)).alias("phrase"))).alias("found"))
-    near = near.select("id", "n", F.explode_outer("found").alias("f")).select("id", "f.i", "n", "f.phrase")
+    kept = hashed.select("row", "n_words", "m", F.posexplode_outer("m").alias("i", "h"))
+    kept = kept.where((F.col("i") % REACH == 0) | (F.get("m", F.col("i") - 1) != F.col("h"))).select("row", "n_words", "i", "h")
+    reached = F.sequence(F.col("i"), F.least(F.col("i") + REACH - 1, F.col("n_words") - WINDOW))
+    near = kept.join(known, "h").select("row", F.explode(reached).alias("i"), F.lit(WINDOW).alias("n"))
     for a in sorted(r["anchor"] for r in windows.where("anchor > 0").select("anchor").distinct().collect()):  # 1, 2 and 4 at most
         short = _few(windows.where(F.col("anchor") == a).select("h", "n").distinct())
-        begun = base.select("id", "w", F.posexplode_outer(f"g{a}").alias("i", "h")).join(short, "h").where(F.col("i") + F.col("n") <= F.size("w"))
-        near = near.unionByName(begun.select("id", "i", "n", _phrase(F.col("w"), F.col("i"), F.col("n")).alias("phrase")))
-    return near.join(_few(windows.select("n", "phrase").distinct()), ["n", "phrase"], "left_semi").select("id", "i", "n", "phrase").distinct()
+        begun = hashed.select("row", "n_words", F.posexplode_outer(f"g{a}").alias("i", "h")).join(short, "h")
+        near = near.unionByName(begun.where(F.col("i") + F.col("n") <= F.col("n_words")).select("row", "i", "n"))
+    # a row's places are no more than its words; a table, so that its size is known when it meets the words
+    places = cut(near.groupBy("row").agg(F.collect_set(F.struct("i", "n")).alias("places")), "places")
+    met = base.select("row", "w").join(places, "row")
+    spoken = F.transform("places", lambda p: F.struct(p["i"].alias("i"), p["n"].alias("n"), _phrase(F.col("w"), p["i"], p["n"]).alias("phrase")))
+    said = met.select("row", F.explode_outer(spoken).alias("p")).select("row", "p.i", "p.n", "p.phrase")
+    return said.join(_few(windows.select("n", "phrase").distinct()), ["n", "phrase"], "left_semi").select("row", "i", "n", "phrase")
 
 
 def _covered(spans: Column) -> Column:
@@ -126,18 +138,18 @@ def _covered(spans: Column) -> Column:
 
 
 def judge(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", part: int = 20) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, spans (i, n) and contaminated (part * n_hit >= n_words > 0 hits)."""
-    windows = _benchmark(items, item_id, text_col)
-    found = cut(hits(docs, items, doc_id, item_id, text_col), "hits")
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (part * n_hit >= n_words > 0 hits), spans (i, n) and text_hash."""
+    windows = cut(_benchmark(items, item_id, text_col), "windows")
+    base = prepare(docs, doc_id, text_col)
+    found = cut(hits(base, windows), "hits")
     # a document's spans are no more than its words
-    spans = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("spans"))
+    spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("spans"))
     owners = windows.select("n", "phrase", F.col("item").cast("string").alias("item")).distinct()
-    held = found.select("id", "n", "phrase").distinct().join(_few(owners), ["n", "phrase"]).select("id", "item").distinct()
-    named = held.groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    marked = spans.join(named, "id").select("id", _covered(F.col("spans")).alias("n_hit"), "n_items", "items", "spans")
-    counted = docs.select(F.col(doc_id).alias("id"), F.size(words(F.col(text_col))).cast("bigint").alias("n_words"))
+    held = found.select("row", "n", "phrase").distinct().join(_few(owners), ["n", "phrase"]).where("item is not null").select("row", "item").distinct()
+    named = held.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    marked = spans.join(named, "row", "left").select("row", _covered(F.col("spans")).alias("n_hit"), "n_items", "items", "spans")
     hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return counted.join(marked, "id", "left").select(
+    return base.select("row", "id", "text_hash", F.col("n_words").cast("bigint").alias("n_words")).join(marked, "row", "left").select(
         F.col("id").alias(doc_id),
         "n_words",
         hit.alias("n_hit"),
@@ -145,4 +157,5 @@ def judge(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         ((hit > 0) & (hit * part >= F.col("n_words"))).alias("contaminated"),
         "spans",
+        "text_hash",
     )

@@ -9,7 +9,7 @@ from refloom.llm.tables import load
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans", "text_hash")
 
 
 _WORDS = """[w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF w <> '']"""

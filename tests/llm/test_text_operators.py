@@ -122,6 +122,20 @@ def test_decontamination(spark):
     assert decontaminate.judge(docs(spark, []), frame).count() == 0
 
 
+def test_decontamination_row_by_row(spark, monkeypatch):
+    """Null and repeated ids are judged by their own texts, and a benchmark beyond the broadcast bound gives the same rows."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, n)) for i, n in enumerate([40, 13, 5, 2, 1, 25])]
+    texts = [items[0][1], prose(rng, 30), f"{prose(rng, 9)} {items[5][1]}", f"{prose(rng, 400)} {items[1][1]} {prose(rng, 400)}", "a b c d"]
+    frame = docs(spark, [*texts, *texts], [None, None, 3, 3, 3, *range(10, 15)]).withColumn("id", F.lit("clash")).withColumn("row", F.lit(0)).withColumn("w", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, [(i, *plain_judge(t, items)) for i, t in zip([None, None, 3, 3, 3, *range(10, 15)], [*texts, *texts], strict=True)]))
+    for bound in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.judge(frame, bench).collect()]
+        assert sorted(map(str, got)) == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
