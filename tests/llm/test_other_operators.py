@@ -78,6 +78,10 @@ def test_pipeline_stages(spark, tmp_path):
     leak = prose(40)
     texts = [prose(120) + (" you worthless idiot" if i % 4 == 3 else "") for i in range(120)]
     texts += [texts[0], texts[4], leak + " " + prose(20), None, ""]
+    texts.append(" ".join([prose(1500), *leak.split()[5:20], prose(1500)]))  # one window and a little more in a long text
+    near = texts[8].split()
+    near[30], near[90] = "other", "words"
+    texts.append(" ".join(near))
     docs = [(i, t, rng.choice(["en", "de"]), rng.choice(["src0", "src1", "src9"]), len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 4 == 3)) for i in range(110)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
@@ -90,10 +94,10 @@ def test_pipeline_stages(spark, tmp_path):
         stage(spark, now, sf).write.parquet(out)
         now = spark.read.parquet(out)
         kept[name] = {r.doc_id for r in now.select("doc_id").collect()}
-    clean = {i for i in range(125) if not (i < 120 and i % 4 == 3)}
+    clean = {i for i in range(127) if not (i < 120 and i % 4 == 3)}
     assert kept["toxicity"] == clean
-    assert kept["near_duplicates"] == clean - {120, 121, 124}  # copies of 0 and 4; the empty text joins the null one
-    assert kept["decontamination"] == kept["near_duplicates"] - {122}
+    assert kept["near_duplicates"] == clean - {120, 121, 124, 126}  # copies of 0 and 4, a near copy of 8; the empty text joins the null one
+    assert kept["decontamination"] == kept["near_duplicates"] - {122, 125}
     assert kept["mixing"] < kept["decontamination"] and len(kept["mixing"]) > 0.8 * len(kept["decontamination"])
     assert kept["sharding"] == kept["mixing"] and set(now.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "shard"}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == kept["sharding"]

@@ -90,6 +90,60 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     assert simhash.keep_one(docs(spark, [a, a], [None, None])).count() == 1
 
 
+def jaccard(a, b):
+    def shingles(t):
+        ws = t.lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or {tuple(ws)}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies(spark, monkeypatch):
+    """Texts with five-word shingles alike at 0.8 share a group, through others too; nothing else does. Small and crowded keys alike."""
+    rng = random.Random(21)
+    alphabet = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(900)]
+    word = lambda: alphabet[int(len(alphabet) * rng.random() ** 2)]
+    base = [[word() for _ in range(rng.randrange(60, 400))] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:40] + base[:2] * 60:
+        edited = list(b)
+        for _ in range(max(1, len(b) // rng.choice([60, 80, 150]))):
+            edited[rng.randrange(len(edited))] = word()
+        texts.append(" ".join(edited))
+    texts += [texts[3], texts[3].upper(), None, "", "a b", "A  b", "v " * 40_000]
+    frame = docs(spark, texts).withColumn("row", F.lit("clash")).withColumn("id", F.lit(5)).withColumn("node", F.lit(None).cast("string"))
+    n = len(texts)
+    pairs = [(i, j) for i in range(n) for j in range(i) if texts[i] and texts[j] and len(texts[i]) < 9999 and len(texts[j]) < 9999 and jaccard(texts[i], texts[j]) >= 0.8]
+    groups = {r.id: r.root for r in simhash.near_groups(frame).collect()}
+    caught = np.mean([groups[i] == groups[j] for i, j in pairs])
+    assert len(pairs) > 800 and caught >= 0.95, caught
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in [*pairs, (n - 4, n - 5), (n - 2, n - 3)]:
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(n) for j in range(i) if groups[i] == groups[j])
+    kept = simhash.keep_one_near(frame)
+    assert kept.columns == frame.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(ids) == sorted({min(i for i in range(n) if groups[i] == g) for g in groups.values()})
+
+
+def test_near_copies_defined_cases(spark):
+    rng = random.Random(22)
+    a, b = prose(rng, 80), prose(rng, 80)
+    frame = docs(spark, [a, a, b, b, b, a, None, None], [7, 7, 9, None, None, 8, None, 3])
+    assert sorted((r.doc_id, r.text or "") for r in simhash.keep_one_near(frame).collect()) == sorted([(7, a), (9, b), (3, "")])
+    assert simhash.keep_one_near(frame.limit(0)).count() == 0
+    clash = frame.withColumn("id", F.lit(1)).withColumn("fp", F.lit("x"))
+    assert sorted((r.doc_id, r.text or "") for r in simhash.keep_one(clash).where("doc_id is not null").collect())[0][0] == 3
+
+
 def plain_windows(text):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
