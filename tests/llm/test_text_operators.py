@@ -323,6 +323,36 @@ def test_token_store(spark, tmp_path):
     assert tokenstore.checksums(spark, empty).count() == 0
 
 
+def test_ids_equal_the_library(tmp_path):
+    """Words through the merges, with marks, in other scripts, and texts of odd characters."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(23)
+    plain, code = Tokenizer.from_file(tokenizer_path()), tokenstore.Encoder(tokenizer_path())
+    assert code.merges is not None
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "\u00e9\u00e8\u00fc\u00df\u00f1\u00c9\u00aa\u00b5"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14)))
+    odd = ["'s", "don't", "1,000.5%", "<|endoftext|>", "\u0130x", "\u03a3\u0391\u03a3", "\x85", "e\u0301", "\u4f60\u597d", "\U0001f980", "", "\t", "\u2028", "--", "a_b", "x" * 300]
+    texts = [None, "", " ", "\n\n", *("".join(rng.choice([word(), word() + rng.choice("!?.,;%%%"), rng.choice(odd)]) + rng.choice([" ", " ", "\n", "  "]) for _ in range(30)) for _ in range(300))]
+    ids, ends = code(texts, 2)
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], text
+    code.merges = None
+    again, _ = code(texts, 2)
+    assert (again == ids).all()
+
+
+@pytest.mark.parametrize("lost", ["recipes", "manifest", "parts"])
+def test_a_lost_group_is_noticed(spark, tmp_path, lost):
+    path = f"file://{tmp_path}/store"
+    tokenstore.write(docs(spark, [f"some words here {i}" for i in range(20)]), path, tokenizer_path(), 2)
+    rows = spark.read.parquet(f"{path}/{lost}")
+    kept = spark.createDataFrame([r for r in rows.collect() if r["part"] != 1], rows.schema)
+    kept.write.mode("overwrite").parquet(f"{path}/{lost}")
+    with pytest.raises(ValueError, match="damaged"):
+        tokenstore.checksums(spark, path)
+
+
 def test_a_damaged_store_is_an_error(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     tokenstore.write(docs(spark, ["some words here"]), path, tokenizer_path(), 2)
