@@ -54,7 +54,7 @@ from pyspark.sql import types as T
 from refloom.llm.scratch import cut
 
 MAX_TRAIN = 6000
-TELLING, CLEAN, LANDMARKS = 192, 12_000, 800
+TELLING, CLEAN, LANDMARKS = 192, 12_000, 512
 #: A token tells the labels apart if so many toxic texts have it, if it is so many times as frequent in them as in clean
 #: ones, and if its toxic texts are so many standard deviations more than by chance.
 LEAST_TEXTS, LEAST_LIFT, LEAST_DEVIATIONS = 3, 12.0, 3.5
@@ -197,6 +197,12 @@ def kernel(words: Profiles, landmarks: Profiles) -> np.ndarray:
     return out
 
 
+def _kernels(words: list[str], landmarks: Profiles, alphabet: dict[str, int]) -> Iterator[np.ndarray]:
+    """``kernel`` of 1024 words at a time."""
+    for k in range(0, len(words), 1024):
+        yield kernel(Profiles(words[k : k + 1024], alphabet), landmarks)
+
+
 def _alphabet(words: list[str]) -> dict[str, int]:
     """The commonest characters, numbered from 1 in that order."""
     counts = Counter("".join(words))
@@ -309,15 +315,20 @@ def noised(word: str, times: int = NOISED) -> list[str]:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, asked: np.ndarray, ridge: float) -> np.ndarray:
     """Weights and a bias (last) of the squared-hinge machine."""
-    x = np.hstack([x, np.ones((len(y), 1))])
+    x = np.hstack([x, np.ones((len(y), 1), dtype=x.dtype)])
     sign = np.where(y == 1, 1.0, -1.0)
     w = np.zeros(x.shape[1])
     penalty = np.eye(len(w)) * ridge
     penalty[-1, -1] = 1e-6
     for _ in range(30):
-        active = sign * (x @ w) < asked
-        xa = x[active] * cost[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + penalty, xa.T @ (sign * asked)[active])
+        active = np.nonzero(sign * (x @ w) < asked)[0]
+        left, right = penalty.copy(), np.zeros(len(w))
+        for k in range(0, len(active), 2048):
+            own = x[active[k : k + 2048]].astype(np.float64)
+            weighed = own * cost[active[k : k + 2048], None]
+            left += weighed.T @ own
+            right += weighed.T @ (sign * asked)[active[k : k + 2048]]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -341,15 +352,16 @@ def fit(telling: dict[str, int], clean: dict[str, int], unnoised: tuple[str, ...
     plain = {START + w: float(min(n, CLEAN_TEXTS)) for w, n in clean.items() if w not in telling and w not in edits}
     marks = [START + w for w in telling][: LANDMARKS // 2]
     alphabet = _alphabet([*toxic, *plain])
-    others = Profiles(list(plain), alphabet)
-    like = kernel(others, Profiles(marks, alphabet)).max(axis=1, initial=0.0) * np.array(list(plain.values())) ** 0.25
+    telling_marks = Profiles(marks, alphabet)
+    like = np.concatenate([k.max(axis=1, initial=0.0) for k in _kernels(list(plain), telling_marks, alphabet)]) if plain else np.zeros(0)
+    like = like * np.array(list(plain.values())) ** 0.25
     marks += [list(plain)[i] for i in np.argsort(-like, kind="stable")[: LANDMARKS - len(marks)]]
     alphabet = _alphabet(marks)
     own = Profiles(marks, alphabet)
     gram = kernel(own, own)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-    features = np.vstack([kernel(Profiles(list(toxic), alphabet), own), kernel(Profiles(list(plain), alphabet), own)]) @ whiten
+    features = np.vstack([(k @ whiten).astype(np.float32) for k in _kernels([*toxic, *plain], own, alphabet)])
     y = np.array([1] * len(toxic) + [0] * len(plain))
     cost = np.array([*toxic.values(), *plain.values()])
     cost *= np.where(y == 1, 500.0 / max(cost[y == 1].sum(), 1), CLEAN_WEIGHT * 500.0 / max(cost[y == 0].sum(), 1))
