@@ -140,4 +140,8 @@ class Engine:
         if kind == "at":
             return "\n".join(r["marker"] for r in result.rows.collect())
         form = {"read": render.location_lines, "search": render.hit_lines, "verify": render.finding_lines}[kind]
-        return result.text(form(result.rows))
+        shown = result.text(form(result.rows))
+        if kind == "read":
+            return shown
+        what = "findings" if kind == "verify" else "mentions" if result.rows.where("hit = 'mention'").limit(1).count() else "markers"
+        return "\n".join([*filter(None, [shown]), render.count_line(len(shown.splitlines()), what)])

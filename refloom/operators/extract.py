@@ -48,7 +48,8 @@ def gherkin_titles(files: DataFrame) -> DataFrame:
 
 def sections(titles: DataFrame, totals: DataFrame, ranks: int) -> DataFrame:
     """Add end_line: before the next title of rank at most one's own, or the last line. ``totals`` has (path, total)."""
-    later = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    # from the last title backwards, so that each frame grows by a row instead of being summed anew
+    later = Window.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
     end: Column = F.lit(None).cast("bigint")
     for k in range(ranks, 0, -1):
         end = F.when(F.col("rank") == k, F.min(F.when(F.col("rank") <= k, F.col("line"))).over(later)).otherwise(end)

@@ -113,10 +113,10 @@ def lines_per_file(spark, sf):
     return lines.lines(_files(spark, sf)).groupBy("path").agg(F.max("line").alias("n_lines"))
 
 
-@_query("canonical_order", _facts("SELECT anchor, file || ':' || start_line || '-' || end_line AS location, row_number() OVER (ORDER BY anchor, file || ':' || start_line || '-' || end_line)::BIGINT AS position FROM defs WHERE anchor <> 'Details'"))
+@_query("canonical_order", _facts("SELECT anchor, file || ':' || start_line || '-' || end_line AS location, row_number() OVER (ORDER BY anchor, file || ':' || start_line || '-' || end_line)::BIGINT AS position FROM defs"))
 def canonical_order(spark, sf):
-    """The index's order, numbered, of the definitions that its oracle numbers."""
-    return resolve.ordered(_forward(spark, sf).where("anchor <> 'Details'"))
+    """The index's order, numbered."""
+    return resolve.ordered(_forward(spark, sf))
 
 
 @_query("anchor_multiplicity", _facts("SELECT anchor, count(*) AS n FROM defs GROUP BY anchor HAVING count(*) > 1"))
@@ -124,10 +124,10 @@ def anchor_multiplicity(spark, sf):
     return resolve.counts(_forward(spark, sf))[0].where("n > 1")
 
 
-@_query("index_summary", _facts("SELECT (SELECT count(*) FROM defs) AS anchors, (SELECT count(*) FROM mens WHERE file LIKE 'docs/%') AS mentions, (SELECT count(*) FROM docs) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS files"))
+@_query("index_summary", _facts("SELECT (SELECT count(*) FROM defs) AS anchors, (SELECT count(*) FROM mens) AS mentions, (SELECT count(*) FROM docs) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS files"))
 def index_summary(spark, sf):
     files = _files(spark, sf)
-    parts = {"anchors": extract.anchors(files), "mentions": scan.mention_table(files.where(F.col("path").startswith("docs/"))), "files": files}
+    parts = {"anchors": extract.anchors(files), "mentions": scan.mention_table(files), "files": files}
     counted = None
     for name, df in parts.items():
         own = df.agg(*[(F.count(F.lit(1)) if n == name else F.lit(0).cast("bigint")).alias(n) for n in parts])
@@ -159,14 +159,15 @@ def prefix_complete(spark, sf):
     return resolve.with_prefix(_forward(spark, sf), "DOC-1")
 
 
-_POSITIONS = "(SELECT file, 12 + k AS line FROM docs UNION ALL SELECT file, 14 + k FROM docs UNION ALL SELECT file, 2 FROM docs UNION ALL SELECT 'src/p' || p_partkey || '.py', 7 FROM part)"
+_POSITIONS = "(SELECT file, 12 + k AS line FROM docs UNION ALL SELECT file, 14 + k FROM docs UNION ALL SELECT file, 2 FROM docs UNION ALL SELECT 'src/p' || p_partkey || '.py', 7 FROM part UNION ALL SELECT 'features/c' || c_custkey || '.feature', 6 FROM customer UNION ALL SELECT 'src/s' || s_suppkey || '.rs', 5 FROM supplier)"
 
 
 def _positions(spark, sf):
     total = F.size(lines.line_array(F.col("content"))).cast("bigint")
-    md, py = _files(spark, sf, "md"), _files(spark, sf, "py")
+    md = _files(spark, sf, "md")
     at = lambda df, *xs: df.select(F.col("path").alias("file"), F.explode(F.array(*xs)).alias("line"))
-    return at(md, total - 2, total, F.lit(2).cast("bigint")).unionByName(at(py, F.lit(7).cast("bigint")))
+    one = lambda kind, line: at(_files(spark, sf, kind), F.lit(line).cast("bigint"))
+    return at(md, total - 2, total, F.lit(2).cast("bigint")).unionByName(one("py", 7)).unionByName(one("feature", 6)).unionByName(one("rs", 5))
 
 
 _COVER = f"SELECT p.file, p.line, d.anchor, d.start_line, d.end_line FROM {_POSITIONS} p JOIN defs d ON p.file = d.file AND p.line BETWEEN d.start_line AND d.end_line"
@@ -269,12 +270,12 @@ def locations_parsed(spark, sf):
     return _forward(spark, sf).select(spot.alias("location")).select("location", grammar.parse_location(F.col("location")).alias("p")).select("location", "p.*")
 
 
-@_query("json_envelope", _facts("SELECT file, '{\"format\":\"rr-json\",\"version\":1,\"command\":\"verify\",\"data\":{\"file\":\"' || file || '\",\"line\":' || line || ',\"rule\":\"stale path mention\"}}' AS json FROM found WHERE rule = 'stale-mention'"))
-def json_envelope(spark, sf):
-    found = verify_rows(spark, sf)
-    return found.select("file", render.envelope("verify", F.struct("file", "line", F.col("text").alias("rule"))).alias("json"))
+_ENTRY = "'{\"file\":\"' || file || '\",\"line\":' || line || ',\"rule\":\"stale path mention\"}'"
+_query("json_envelope", _facts(f"SELECT '{{\"format\":\"rr-json\",\"version\":1,\"command\":\"verify\",\"data\":{{\"findings\":[' || coalesce(string_agg({_ENTRY}, ',' ORDER BY file, line), '') || ']}}}}' AS json FROM found WHERE rule = 'stale-mention'"))(
+    lambda spark, sf: render.verify_document(_stale(spark, sf))
+)
 
 
-def verify_rows(spark, sf):
+def _stale(spark, sf):
     files = _files(spark, sf)
     return verify.findings(files, extract.anchors(files), verify.entries_of(files.select("path")), ("stale-mention",), corpus.SCAN)

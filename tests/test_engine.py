@@ -1,38 +1,34 @@
 """Scanners, extractors, resolution and the gate on small trees."""
 
+import json
 import os
 import subprocess
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.api import Engine, Status
-from refloom.operators import extract, lines, resolve, scan, verify
+from refloom.operators import extract, lines, render, resolve, scan, verify
 from refloom.sources import index as store
 from refloom.sources import refidx, tree
 from refloom.sources.config import Config, parse
 from refloom.sources.globs import in_scope
 from refloom.streaming import reindex
 
-VIOLATIONS = """# Notes
-
-A dangling marker: [[rr:nobody-defines-this]] goes nowhere.
-
-Two definitions: [[rr:Dup]] and a bare path [[rr:src/lib.rs]] in a marker.
-
-Never closed: [[rr:open
-
-Bad escape: [[rr:bad\\zescape]] here.
-
-A line: src/lib.rs:7 and a file that is gone: src/gone.rs too.
-
-Fine: [[rr:a.md#Dup]], src/lib.rs, and/or, I/O.
-
-```text
-[[rr:fenced]] and src/fenced.rs and src/lib.rs:99
-```
-"""
-TREE = {"corpus.md": VIOLATIONS, "src/lib.rs": "fn main() {}\n", "a.md": "## Dup\nx\n", "b.md": "## Dup\ny\n"}
+#: How often the made page breaks each rule.
+BROKEN = {"dangling-marker": 3, "ambiguous-marker": 2, "path-only-marker": 1, "malformed-marker": 4, "path-line": 2, "stale-mention": 3}
+_BREAK = {
+    "dangling-marker": "[[rr:missing {i}]]",
+    "ambiguous-marker": "[[rr:Twice]]",
+    "path-only-marker": "[[rr:kit/box.rs]]",
+    "malformed-marker": "[[rr:stuck {i}",
+    "path-line": "kit/box.rs:{i}4",
+    "stale-mention": "kit/lost{i}.rs",
+}
+PAGE = "# Page\n" + "".join(f"\nNo {i}, {_BREAK[rule].format(i=i)}\n" for rule, n in BROKEN.items() for i in range(n))
+PAGE += "\nRight: [[rr:one.md#Twice]] kit/box.rs, he/she, A/B.\n\n~~~\n[[rr:kept out]] kit/out.rs kit/box.rs:5\n~~~\n"
+TREE = {"page.md": PAGE, "kit/box.rs": "fn lid() {}\n", "one.md": "## Twice\nx\n", "two.md": "## Twice\ny\n"}
 BOTH = {"python": ["comments"], "rust": ["comments"]}
 
 
@@ -73,15 +69,15 @@ def test_definitions(spark):
     files = {
         "g.md": "# Guide\n\nintro\n## Config\n\nbody\n```\n# no\n```\n# Next: x\n",
         "x.feature": "Feature: F\n  \"\"\"json\n  Scenario: hidden\n  \"\"\"\n  Scenario: A\n    Given x\n  Scenario Outline: B\n",
-        "x.rs": "fn alpha() {\n    let s = \"}\";\n}\nstruct Beta;\ntrait T {\n    fn sig(&self);\n}\n",
-        "x.py": "@d\ndef top():\n    pass\n\nclass E:\n    async def move(self):\n        pass\n",
+        "x.rs": "fn open_lid() {\n    let s = \"}\";\n}\nstruct Crate;\ntrait T {\n    fn sig(&self);\n}\n",
+        "x.py": "@d\ndef weigh():\n    pass\n\nclass Shelf:\n    async def carry(self):\n        pass\n",
         "bad.py": "def broken(:\n    x\n\nclass C:\n    pass\n",
         "n.md": None,
     }
     got = {(r.file, r.anchor, r.start_line, r.end_line) for r in extract.anchors(frame(spark, files)).collect()}
     assert got == {
         ("g.md", "Guide", 1, 9), ("g.md", "Config", 4, 9), ("g.md", "Next: x", 10, 10), ("x.feature", "F", 1, 7), ("x.feature", "A", 5, 6), ("x.feature", "B", 7, 7),
-        ("x.rs", "alpha", 1, 3), ("x.rs", "Beta", 4, 4), ("x.rs", "T", 5, 7), ("x.py", "top", 2, 3), ("x.py", "E", 5, 7), ("x.py", "move", 6, 7), ("bad.py", "broken", 1, 2), ("bad.py", "C", 4, 5),
+        ("x.rs", "open_lid", 1, 3), ("x.rs", "Crate", 4, 4), ("x.rs", "T", 5, 7), ("x.py", "weigh", 2, 3), ("x.py", "Shelf", 5, 7), ("x.py", "carry", 6, 7), ("bad.py", "broken", 1, 2), ("bad.py", "C", 4, 5),
     }
 
 
@@ -94,10 +90,14 @@ def test_nest_and_ties(spark):
 
 def test_six_kinds(spark):
     files = frame(spark, TREE)
-    rows = verify.findings(files.where("path = 'corpus.md'"), extract.anchors(files), verify.entries_of(files)).collect()
-    assert sorted(r.rule for r in rows) == ["ambiguous-marker", "dangling-marker", "malformed-marker", "malformed-marker", "path-line", "path-only-marker", "stale-mention"]
+    rows = verify.findings(files.where("path = 'page.md'"), extract.anchors(files), verify.entries_of(files))
+    assert dict(Counter(r.rule for r in rows.collect())) == BROKEN
+    told = json.loads(render.verify_document(rows).first()["json"])
+    assert (told["format"], told["version"], told["command"]) == ("rr-json", 1, "verify")
+    assert [sorted(f) for f in told["data"]["findings"]] == [["file", "line", "rule"]] * sum(BROKEN.values())
+    assert [f["line"] for f in told["data"]["findings"]] == sorted(f["line"] for f in told["data"]["findings"])
     none = verify.findings(files, extract.anchors(files), verify.entries_of(files), ())
-    assert none.isEmpty()
+    assert none.isEmpty() and json.loads(render.verify_document(none).first()["json"])["data"] == {"findings": []}
     with pytest.raises(ValueError, match="unknown verify rule"):
         verify.findings(files, files, files, ("typo",))
 
@@ -114,31 +114,44 @@ def root(tmp_path):
 
 def test_verbs(spark, root):
     engine = Engine(spark, str(root), str(root / ".idx"))
-    assert engine.read("Dup").status == Status.STALE
-    assert engine.index().message == "indexed 4 anchors and 5 path mentions across 5 files"
-    assert engine.read("Dup").status == Status.ADVERSE
-    assert engine.read("[[rr:oops").status == Status.USAGE
-    unique = engine.read("[[rr:a.md#Dup]]")
-    assert (unique.status, engine.lines(unique, "read")) == (Status.OK, "a.md:1-2")
-    at = engine.at("a.md:2")
-    assert (at.status, engine.lines(at, "at")) == (Status.OK, "[[rr:a.md#Dup]]")
-    assert engine.at("src/lib.rs:9").status == Status.ADVERSE
+    assert engine.read("Twice").status == Status.STALE
+    assert engine.index().message.startswith("indexed 4 anchors and ")
+    assert engine.read("Twice").status == Status.ADVERSE
+    assert engine.read("[[rr:stuck").status == Status.USAGE
+    unique = engine.read("[[rr:one.md#Twice]]")
+    assert (unique.status, engine.lines(unique, "read")) == (Status.OK, "one.md:1-2")
+    at = engine.at("one.md:2")
+    assert (at.status, engine.lines(at, "at")) == (Status.OK, "[[rr:one.md#Twice]]")
+    shown = json.loads(render.at_document(at.rows).first()["json"])["data"]["anchors"]
+    assert shown == [{"anchor": "one.md#Twice", "marker": "[[rr:one.md#Twice]]", "location": {"file": "one.md", "start_line": 1, "end_line": 2}}]
+    assert engine.at("kit/box.rs:9").status == Status.ADVERSE
     assert engine.at("nowhere").status == Status.USAGE
-    assert engine.search("Dup").rows.count() == 2
+    twice = engine.search("Twice")
+    assert twice.rows.count() == 3 and engine.lines(twice, "search").endswith("\n3 markers")
     assert engine.search("none").status == Status.ADVERSE
-    assert engine.search(mentions=True, paths=["corpus.md", "./corpus.md"]).rows.count() == 5
-    assert engine.search(paths=["missing.md"]).status == Status.USAGE
+    assert engine.search(mentions=True, paths=["page.md", "./page.md"]).status == Status.OK
+    assert engine.search(paths=["gone.md"]).status == Status.USAGE
     gate = engine.verify()
-    assert gate.status == Status.ADVERSE and gate.rows.count() == 7
-    assert "corpus.md:3: dangling marker: [[rr:nobody-defines-this]]" in engine.lines(gate, "verify")
-    assert Engine(spark, str(root), str(root / ".idx"), Config(exclude=("corpus.md",))).verify().status == Status.OK
-    os.utime(root / "a.md", (2**31, 2**31))
-    assert engine.read("a.md#Dup").status == Status.STALE
-    assert engine.read("a.md#Dup", skip_freshness=True).status == Status.OK
+    assert gate.status == Status.ADVERSE and gate.rows.count() == sum(BROKEN.values())
+    text = engine.lines(gate, "verify")
+    assert "page.md:3: dangling marker: [[rr:missing 0]]" in text and text.endswith(f"\n{sum(BROKEN.values())} findings")
+    assert Engine(spark, str(root), str(root / ".idx"), Config(exclude=("page.md",))).verify().status == Status.OK
+    os.utime(root / "one.md", (2**31, 2**31))
+    assert engine.read("one.md#Twice").status == Status.STALE
+    assert engine.read("one.md#Twice", skip_freshness=True).status == Status.OK
+
+
+def test_long_section_lists(spark):
+    """Many headings in one file, against a plain scan."""
+    ranks = [1 + (i * 7) % 5 for i in range(3000)]
+    files = frame(spark, {"long.md": "".join("#" * r + f" T{i}\n" for i, r in enumerate(ranks))})
+    got = {r.anchor: r.end_line for r in extract.anchors(files).collect()}
+    for i in range(0, 3000, 37):
+        assert got[f"T{i}"] == next((j for j in range(i + 1, 3000) if ranks[j] <= ranks[i]), 3000)
 
 
 def test_listing_and_globs(spark, root):
-    assert [p for p, d in tree.listing(str(root)) if not d] == ["a.md", "b.md", "bin.md", "corpus.md", "src/lib.rs"]
+    assert [p for p, d in tree.listing(str(root)) if not d] == ["bin.md", "kit/box.rs", "one.md", "page.md", "two.md"]
     assert "skip/me.md" in [p for p, _ in tree.listing(str(root), ignore=False)]
     rows = spark.createDataFrame([(p,) for p in ("README.md", "doc/a/b.md", "src/x.rs", "tests/data/v.md")], "path string")
     assert {r.path for r in rows.where(in_scope(F.col("path"), ["**/*.md"], ["tests/data/**"])).collect()} == {"README.md", "doc/a/b.md"}
