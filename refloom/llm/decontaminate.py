@@ -119,7 +119,8 @@ def hits(base: DataFrame, windows: DataFrame) -> DataFrame:
         near = near.unionByName(begun.where(F.col("i") + F.col("n") <= F.col("n_words")).select("row", "i", "n"))
     # a row's places are no more than its words; a table, so that its size is known when it meets the words
     places = cut(near.groupBy("row").agg(F.collect_set(F.struct("i", "n")).alias("places")), "places")
-    met = base.select("row", "w").join(places, "row")
+    few = base.select("row", "w").join(_few(places.select("row")), "row", "left_semi")
+    met = few.join(places, "row")
     spoken = F.transform("places", lambda p: F.struct(p["i"].alias("i"), p["n"].alias("n"), _phrase(F.col("w"), p["i"], p["n"]).alias("phrase")))
     said = met.select("row", F.explode_outer(spoken).alias("p")).select("row", "p.i", "p.n", "p.phrase")
     return said.join(_few(windows.select("n", "phrase").distinct()), ["n", "phrase"], "left_semi").select("row", "i", "n", "phrase")

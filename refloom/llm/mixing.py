@@ -58,7 +58,7 @@ def deal(children: DataFrame, parent_cols: Sequence[str], order_col: str) -> Dat
     out = children.withColumn("_ratio", ratio).withColumn("_usable", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0).cast("bigint"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("_left", F.col("budget") - F.coalesce(F.sum("_usable").over(before), F.lit(0)))
-    out = out.withColumn("_rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    out = out.withColumn("_rest", F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     full = F.col("_usable") * F.col("_rest") <= F.col("_left") * F.col("weight")
     out = out.withColumn("_full", full).withColumn("_n", F.row_number().over(order))
     # the first child that is not full fixes tokens and weights to share from there on

@@ -4,7 +4,8 @@ A cut is a Parquet table in the folder that the cluster names in
 ``spark.checkpoint.dir``, which the driver and every executor can read. A lost
 executor therefore never takes an intermediate result with it. Results returned
 by the operators read such tables lazily, so the folder must outlive the
-results; ``clear`` drops what this application has written.
+results; ``clear`` drops what this application has written, and ``drop`` what
+was written between two calls of ``written``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
 _LOCAL_DEFAULT = "file:///tmp/refloom-scratch"
 
 
@@ -35,9 +37,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared scratch and return a frame that reads it back."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(since: int = 0) -> list[str]:
+    """Paths of the tables cut so far, after the first ``since``."""
+    return _WRITTEN[since:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no result reads any more."""
+    for each in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(each)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every scratch table of this application; results that still read them break."""
     jvm = spark._jvm

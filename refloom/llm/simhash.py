@@ -56,6 +56,8 @@ CROWD = 128
 SHINGLE, SIMILAR, WIDE, FEW = 5, 0.8, 10, 8
 #: Links of a text that are verified first.
 NEAREST = 2
+#: Keys of several texts that are broadcast; more are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -233,6 +235,10 @@ def _wide_links(members: DataFrame) -> DataFrame:
     """(lo, hi, bits): pairs of nodes of ``members`` (fp, node) that share a key and differ in at most WIDE bits, each once."""
     me = F.struct("fp", "node")
     keyed, path = _wide_keyed(members, 0), ["k0", "key0"]
+    # most keys are of one text: keys are counted first, and only rows of the others move
+    shared = cut(keyed.groupBy(F.xxhash64(*path).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
+    held = F.broadcast(shared) if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else shared
+    keyed = cut(keyed.withColumn("h", F.xxhash64(*path)).join(held, "h", "left_semi").drop("h"), "keyed")
     sizes = cut(keyed.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("least"), F.max(me).alias("most")).where("n > 1"), "keys")
     found = [sizes.where("n = 2").select("least", F.col("most").alias("other"))]
     several = sizes.where("n > 2")
@@ -274,7 +280,8 @@ def _grouped(own: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = cut(own.groupBy("fp", "node").agg(F.min("row").alias("row")), "texts")
     links = _wide_links(members.select("fp", "node"))
     linked = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct()
-    shown = members.join(linked, "node").groupBy("node").agg(F.min("row").alias("row"))
+    # a table, so that its size is known when it meets the texts
+    shown = cut(members.join(linked, "node").groupBy("node").agg(F.min("row").alias("row")), "shown")
     sets = cut(own.join(shown.select("row"), "row").select("node", _shingles("text").alias("s")), "shingles")
     same, open_ = None, links
     for nearest in (NEAREST, None):
