@@ -117,9 +117,11 @@ def _profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     for texts in batches:
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        prints = [_majority([xxhash.xxh64_intdigest(w, SEED) for w in set(ws)]) for ws in words]
-        nodes = [xxhash.xxh64_intdigest(b" ".join(ws), SEED) for ws in words]
+        prints, nodes = [], []
+        for t in texts:  # one text's words at a time
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            prints.append(_majority([xxhash.xxh64_intdigest(w, SEED) for w in set(words)]))
+            nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
         yield pd.DataFrame({"fp": _as_long(prints), "node": _as_long(nodes)})
 
 
