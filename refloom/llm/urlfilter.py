@@ -120,7 +120,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", html_co
         nodes = nodes.union(spread).groupBy("node").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     decided = nodes.select("node", F.when(F.col("allow") == 1, "allow").otherwise("block").alias("inherited"))
     url = F.col(url_col)
-    own = pages.withColumns({"host": host(url), "path": path(url), "node": normal(url)})
+    own = pages.drop("inherited").withColumns({"host": host(url), "path": path(url), "node": normal(url)})
     own = own.withColumn("rule", fitting(F.col("host"), F.col("path"), rules, lambda r: r.text)).withColumn("own", fitting(F.col("host"), F.col("path"), rules, lambda r: r.action))
     out = own.join(decided, "node", "left").withColumn("verdict", F.coalesce("own", "inherited", F.lit("allow")))
     return out.drop("node", "own")

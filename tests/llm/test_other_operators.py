@@ -49,6 +49,8 @@ def test_rules_and_aliases(spark):
     assert (rows[1].host, rows[1].path, rows[1].rule) == ("a.example.com", "/en/5", "com/en/")
     assert (rows[3].host, rows[3].path, rows[3].rule) == ("", "", None)
     assert rows[7].rule is None and rows[5].rule == "example.net/de/8"
+    clash = frame.selectExpr("*", "'x' as inherited", "'x' as verdict", "'x' as host")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(clash, RULES, redirects=redirects).collect()} == {i: r.verdict for i, r in rows.items()}
     assert urlfilter.judge(frame.limit(0), [Rule("block", "com/")]).count() == 0
 
 
