@@ -15,7 +15,8 @@ answers with k rows for a query at most, and these are merged by rank.
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do vectors whose length differs from that of most
 queries' block (they could have no inner product with them); a query without
-candidates has no rows; repeated ids are separate candidates; a query's own id
+candidates has no rows; repeated ids are separate candidates, and as queries give
+the best of all their vectors together; a query's own id
 is never its candidate; an empty table gives an empty result.
 """
 
@@ -130,7 +131,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for block in range(n_blocks):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).select("id", "exact").orderBy("id").toPandas()
         for dim in sorted({len(v) for v in rows["exact"]}):
-            same = rows[[len(v) == dim for v in rows["exact"]]].drop_duplicates("id")
+            same = rows[[len(v) == dim for v in rows["exact"]]]
             ids, matrix = same["id"].to_numpy().astype(np.int64), np.stack(same["exact"].to_numpy()).astype(np.float64)
 
             def local(batches, ids=ids, matrix=matrix):

@@ -58,7 +58,7 @@ def test_exact_search(spark):
     rng = random.Random(2)
     vectors = [[rng.gauss(0, 0.2) for _ in range(16)] for _ in range(700)]
     vectors[50:60] = [vectors[0]] * 10  # ties
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(700, None), (750, [float("nan")] * 16), (800, [None] + [0.1] * 15), (850, [float("inf")] * 16), (900, [0.1] * 3), (7, vectors[7]), (950, [])]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(700, None), (750, [float("nan")] * 16), (800, [None] + [0.1] * 15), (850, [float("inf")] * 16), (900, [0.1] * 3), (7, vectors[7]), (950, []), (50, vectors[61]), (100, vectors[100])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     index = vafile.build(frame, "vec_id", "embedding")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vafile.search(index, index.where("id % 50 = 0"), 5).collect()]
@@ -66,8 +66,8 @@ def test_exact_search(spark):
 
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and None not in v and all(map(math.isfinite, v))]
     want = []
-    for q, a in [x for x in whole if x[0] % 50 == 0]:
-        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(b) == len(a))[:5]
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for j, a in whole if j == q for i, b in whole if i != q and len(b) == len(a))[:5]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
     assert sorted(got) == sorted(want)
     assert vafile.search(index.limit(0), index.limit(0)).count() == 0
