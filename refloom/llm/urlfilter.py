@@ -12,6 +12,9 @@ Normal forms contract the graph before any iteration: a url and its variants
 .html) are one node, so the distributed components run over explicit edges
 only. Decisions are gathered per node with map-side combination.
 
+Links are seen from their page or its base tag: relative targets, "?", "." and ".."
+are resolved; other schemes, like mailto, are no links.
+
 Defined cases: a null url or one without "://" has empty host and path, no rule
 and no alias, and is allowed; a null page body has no edges; a page that links
 to itself adds nothing; repeated rows are judged alike, row by row; targets
@@ -77,24 +80,40 @@ def normal(url: Column) -> Column:
 
 
 def _absolute(target: Column, page: Column) -> Column:
-    """A link's target seen from a page; null if it is relative to the page's folder."""
-    scheme = F.regexp_extract(page, r"(?s)^(.*?)://", 1)
-    return (
-        F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), F.regexp_extract(page, _URL, 1), target))
-        .when(F.instr(target, "://") > 0, target)
+    """A link's target seen from a page; null for a page without "://" and for other schemes, like mailto."""
+    top = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(page), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    whole = (
+        F.when(target.startswith("//"), F.concat(F.regexp_extract(page, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(top, target))
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.rlike(r"\A[?#]"), F.concat(top, path(page), target))
+        .otherwise(F.concat(top, folder, target))
     )
+    dotted = path(whole).rlike(r"/\.\.?(?:/|\z)")
+    rest = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*[^?#]*(.*)\z", 1)
+    plain = F.when(dotted, F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), _undotted(path(whole)), rest)).otherwise(whole)
+    return F.when(F.instr(page, "://") > 0, plain)
+
+
+def _undotted(path_: Column) -> Column:
+    """A path without its "." and ".." parts."""
+    parts = F.split(F.substring(F.regexp_replace(path_, r"(/\.\.?)\z", "$1/"), F.lit(2), F.length(path_) + 1), "/")
+    step = lambda a, p: F.when(p == ".", a).when(p == "..", F.regexp_replace(a, r"/[^/]*\z", "")).otherwise(F.concat(a, F.lit("/"), p))
+    return F.aggregate(parts, F.lit(""), step)
 
 
 def page_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(url, target) from canonical links and refresh tags of page bodies."""
     html = F.col(html_col)
     some = pages.select(F.col(url_col).alias("url"), html.alias("html")).where(html.isNotNull() & F.col(url_col).isNotNull() & html.rlike(r"(?i)canonical|http-equiv"))
-    tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    base = F.nullif(F.regexp_extract("html", r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
+    tags = some.select("url", F.coalesce(_absolute(base, F.col("url")), F.col("url")).alias("from"), F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     link = F.when(F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    turn = F.when(F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*([^\"'\s>]+)", 1))
-    found = tags.select("url", F.coalesce(link, turn).alias("to")).where(F.col("to") != "")
-    return found.select("url", _absolute(F.col("to"), F.col("url")).alias("target")).where("target is not null")
+    turn = F.when(F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = tags.select("url", "from", F.replace(F.coalesce(link, turn), F.lit("&amp;"), F.lit("&")).alias("to")).where(F.col("to") != "")
+    return found.select("url", _absolute(F.col("to"), F.col("from")).alias("target")).where("target is not null")
 
 
 def _decision(df: DataFrame, url_col: str, rules: Sequence[Rule]) -> DataFrame:

@@ -54,6 +54,27 @@ def test_rules_and_aliases(spark):
     assert urlfilter.judge(frame.limit(0), [Rule("block", "com/")]).count() == 0
 
 
+def test_relative_links(spark):
+    """Targets are seen from the page or its base; the verdicts here come from the links alone."""
+    link = '<link rel="canonical" href="{}">'
+    turn = "<meta http-equiv=refresh content=\"0; url='{}'\">"
+    cases = [
+        ("http://h.net/d/a?x=1#y", link.format("b.html"), "http://h.net/d/b.html"), ("http://h.net/d/e/a", link.format("../b"), "http://h.net/d/b"),
+        ("http://h.net/d/a", link.format("./x/./y/../z/.."), "http://h.net/d/x/"), ("http://h.net", link.format("b"), "http://h.net/b"),
+        ("http://h.net/d/a?x=1", link.format("?id=2&amp;k=3"), "http://h.net/d/a?id=2&k=3"), ("http://h.net/d/a", link.format("../../../b?q=/../c"), "http://h.net/b?q=/../c"),
+        ("https://h.net/d/a", link.format("//k.org/p"), "https://k.org/p"), ("http://h.net/d/a", turn.format("http://k.org/../p"), "http://k.org/p"),
+        ("http://h.net/d/a", turn.format("c?u=http://z.z/"), "http://h.net/d/c?u=http://z.z/"), ("http://h.net/d/a", '<base href="/e/f/">' + link.format("g"), "http://h.net/e/f/g"),
+        ("http://h.net/d/a", link.format("mailto:x@y"), None), ("no scheme", link.format("b"), None), ("http://h.net/d/a", link.format(""), None),
+        ("http://h.net/" + "d/" * 3000, link.format("b"), "http://h.net/" + "d/" * 3000 + "b"),
+    ]
+    for url, html, want in cases:
+        got = urlfilter.page_edges(spark.createDataFrame([(url, html)], "url string, html string"), "url", "html").collect()
+        assert [r.target for r in got] == ([] if want is None else [want]), (url, html)
+    pages = spark.createDataFrame([(1, "http://h.net/d/a", link.format("b.html")), (2, "http://h.net/d/c", None)], "page_id long, url string, html string")
+    judged = urlfilter.judge(pages, [Rule("block", "h.net/d/b")]).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in judged} == {1: (None, "block"), 2: (None, "allow")}
+
+
 def test_exact_search(spark):
     rng = random.Random(2)
     vectors = [[rng.gauss(0, 0.2) for _ in range(16)] for _ in range(700)]
