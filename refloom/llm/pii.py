@@ -78,15 +78,36 @@ def _valid(kind: str, text: Column) -> Column:
     return n.between(10, 15)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, depth: int = 3) -> Column:
+    """Running sums of an array of ints; blocks of 64 are summed first, so a number costs 64 additions a level at most."""
+    total = lambda first, n: F.aggregate(F.slice(numbers, first, n), F.lit(0), lambda a, b: a + b)
+    if depth == 0:
+        return F.transform(numbers, lambda _, i: total(F.lit(1), i + 1))
+    first = lambda block: F.shiftleft(block, 6) + 1
+    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(numbers), 6)), lambda b: total(first(b), F.lit(64)))
+    before = lambda sums, i: F.coalesce(F.get(sums, F.shiftright(i, 6) - 1), F.lit(0))
+    within = lambda i: total(first(F.shiftright(i, 6)), i.bitwiseAND(63) + 1)
+    return _let(_let(blocks, lambda b: running(b, depth - 1)), lambda sums: F.transform(numbers, lambda _, i: before(sums, i) + within(i)))
+
+
 def _with_matches(df: DataFrame, text: str, pattern: str, out: str, tried: Column) -> DataFrame:
     """Add ``out``: array of (start, end, match) in code points, for the leftmost non-overlapping matches."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    lengths = lambda c: F.transform(c, lambda x: F.length(x))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, lengths(F.split(text, pattern))).otherwise(F.array().cast("array<int>"))).withColumn("_l", lengths(F.col("_m")))
-    total = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, b: a + b)
-    df = df.withColumn("_s", F.transform("_l", lambda _, i: total("_g", i + 1) + total("_l", i)))
-    return df.withColumn(out, F.zip_with("_s", "_m", lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match")))).drop("_m", "_g", "_l", "_s")
+    found = F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+    span = lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))
+
+    def spans(matches: Column) -> Column:
+        # a match and the piece before it
+        steps = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(matches)), matches, lambda gap, m: F.length(gap) + F.length(m))
+        return F.zip_with(_let(steps, lambda s: running(s)), matches, span)
+
+    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return df.withColumn(out, _let(found, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(empty)))
 
 
 def _kept(kind: str) -> Column:

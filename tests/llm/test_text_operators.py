@@ -214,6 +214,13 @@ def test_personal_data(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_personal_data_of_many_matches(spark):
+    """Positions hold beyond the blocks of the running sums, at their edges and after astral characters."""
+    texts = ["\U0001f980 " + " ".join(f"a{i}@b.c 1.2.3.{i % 300} +1202555{i:04d}" for i in range(n)) for n in (1, 63, 64, 65, 128, 4097, 9000)]
+    rows = pii.find(docs(spark, texts)).select("id", pii.listed(F.col("base")).alias("base")).collect()
+    assert {r.id: r.base for r in rows} == {i: plain_spans(t) for i, t in enumerate(texts)}
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(7)
     told = [f"{prose(rng, 5)} the lighthouse keeper writes from ann@lamp.org about {w}" for w in ("boats", "storms", "birds", "tides")]
