@@ -11,11 +11,15 @@ was written between two calls of ``written``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 _LOCAL_DEFAULT = "file:///tmp/refloom-scratch"
+#: Rows of an Arrow batch where texts go to Python.
+BATCH_ROWS = 512
 
 
 def root(spark: SparkSession) -> str:
@@ -41,6 +45,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Whatever is cut inside goes to Python workers ``rows`` rows at a time, so that a batch of texts is small on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(since: int = 0) -> list[str]:
     """Paths of the tables cut so far, after the first ``since``."""
     return _WRITTEN[since:]

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.llm.components import components
-from refloom.llm.scratch import cut
+from refloom.llm.scratch import cut, small_batches
 
 BITS = 3
 BLOCKS = 6
@@ -229,8 +229,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _wide_keyed(members: DataFrame, level: int) -> DataFrame:
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in WIDE_PARTITIONS[level]]))
-    return members.select("*", keys.alias(f"k{level}", f"key{level}"))
+    # the masks are one literal, so the generated code stays small however many keys there are
+    masks = F.posexplode(F.array(*[F.lit(m) for m in WIDE_PARTITIONS[level]]))
+    each = members.select("*", masks.alias(f"k{level}", "mask"))
+    return each.select(*members.columns, f"k{level}", F.col("fp").bitwiseAND(F.col("mask")).alias(f"key{level}"))
 
 
 def _wide_links(members: DataFrame) -> DataFrame:
@@ -269,7 +271,8 @@ def _wide_links(members: DataFrame) -> DataFrame:
 def _profiled(docs: DataFrame, text_col: str) -> DataFrame:
     """(row, doc, fp, node) of every row, written once; ``row`` tells rows apart whatever their ids, ``doc`` holds all their columns."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), _profiles(F.col(text_col)).alias("p"))
-    return cut(own.select("row", "doc", "p.fp", "p.node"), "profiles")
+    with small_batches(docs.sparkSession):
+        return cut(own.select("row", "doc", "p.fp", "p.node"), "profiles")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +287,8 @@ def _grouped(own: DataFrame, id_col: str, text_col: str) -> DataFrame:
     linked = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct()
     # a table, so that its size is known when it meets the texts
     shown = cut(members.join(linked, "node").groupBy("node").agg(F.min("row").alias("row")), "shown")
-    sets = cut(own.join(shown.select("row"), "row").select("node", _shingles("text").alias("s")), "shingles")
+    with small_batches(own.sparkSession):
+        sets = cut(own.join(shown.select("row"), "row").select("node", _shingles("text").alias("s")), "shingles")
     same, open_ = None, links
     for nearest in (NEAREST, None):
         near = open_
