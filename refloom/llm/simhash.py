@@ -22,8 +22,9 @@ differ in some ten bits there, so it blocks on fingerprints of the distinct word
 instead, which differ in few, links at WIDE bits and verifies each link on the
 shingles themselves. Its key is made of three out of eight blocks: up to five
 differing bits always share one, more mostly do. A key with few texts gives all
-their pairs; one with many is split by a second partition, and there each text
-meets the least of its bucket, so that pairs grow with the texts. Links are
+their pairs; in one with many each text meets the least of its bucket, so that
+pairs grow with the texts. What these links leave apart is split by a second
+partition, and only parts that hold several groups are looked at again. Links are
 verified nearest first, and those inside a group that is already known are not
 needed. What may be missed is measured in the tests and told in the README.
 
@@ -235,8 +236,9 @@ def _wide_keyed(members: DataFrame, level: int) -> DataFrame:
     return each.select(*members.columns, f"k{level}", F.col("fp").bitwiseAND(F.col("mask")).alias(f"key{level}"))
 
 
-def _wide_links(members: DataFrame) -> DataFrame:
-    """(lo, hi, bits): pairs of nodes of ``members`` (fp, node) that share a key and differ in at most WIDE bits, each once."""
+def _wide_links(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(lo, hi, bits): pairs of nodes of ``members`` (fp, node) that share a key and differ in at most WIDE bits, each once;
+    and the rows of crowded keys, in which each has met the least of its key alone."""
     me = F.struct("fp", "node")
     keyed, path = _wide_keyed(members, 0), ["k0", "key0"]
     # most keys are of one text: keys are counted first, and only rows of the others move
@@ -245,21 +247,37 @@ def _wide_links(members: DataFrame) -> DataFrame:
     keyed = cut(keyed.withColumn("h", F.xxhash64(*path)).join(held, "h", "left_semi").drop("h"), "keyed")
     sizes = cut(keyed.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("least"), F.max(me).alias("most")).where("n > 1"), "keys")
     found = [sizes.where("n = 2").select("least", F.col("most").alias("other"))]
-    several = sizes.where("n > 2")
+    several, crowd = sizes.where("n > 2"), None
     if not several.isEmpty():
         grouped = cut(keyed.join(several.select(*path, "n"), path), "members")
         small = grouped.where(F.col("n") <= FEW).select(*path, me.alias("me"))
         pair = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in path] + [F.col("a.me") < F.col("b.me")]
         found.append(small.alias("a").join(small.alias("b"), pair).select(F.col("a.me").alias("least"), F.col("b.me").alias("other")))
         crowd = grouped.where(F.col("n") > FEW).drop("n")
-        # each meets the least of its bucket, and the least and the greatest of its part of it
-        parted = _wide_keyed(crowd, 1)
-        deeper = [*path, "k1", "key1"]
-        ends = parted.groupBy(*deeper).agg(F.min(me).alias("least"), F.max(me).alias("most")).where("least <> most")
-        within = parted.join(ends, deeper)
-        found += [within.select(end, me.alias("other")) for end in ("least", F.col("most").alias("least"))]
         leaders = sizes.where(F.col("n") > FEW).select(*path, "least")
         found.append(crowd.join(leaders, path).select("least", me.alias("other")))
+    return _close(found), crowd
+
+
+def _deeper_links(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(lo, hi, bits): in each part of a crowded key, the rows of another root meet the part's least and greatest by root.
+
+    A part whose rows have one root already has nothing to add and goes before the join.
+    """
+    me = F.struct("fp", "node")
+    rooted = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted, path = _wide_keyed(rooted, 1), ["k0", "key0", "k1", "key1"]
+    end = F.struct(F.col("root"), me.alias("me"))
+    # most parts are of one root: the roots' ends tell, and only the others are told by row
+    mixed = parted.groupBy(*path).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*path)
+    held = cut(parted.join(cut(mixed, "mixed"), path, "left_semi"), "parted")
+    ends = cut(held.groupBy(*path).agg(F.min(end).alias("first"), F.max(end).alias("last")), "ends")
+    within = held.join(ends, path)
+    return _close([within.where(F.col("root") != F.col(f"{e}.root")).select(F.col(f"{e}.me").alias("least"), me.alias("other")) for e in ("first", "last")])
+
+
+def _close(found: list[DataFrame]) -> DataFrame:
+    """(lo, hi, bits) of the pairs (least, other) that differ in at most WIDE bits, each once."""
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -283,13 +301,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _grouped(own: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = own.select("row", "fp", "node", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
     members = cut(own.groupBy("fp", "node").agg(F.min("row").alias("row")), "texts")
-    links = _wide_links(members.select("fp", "node"))
+    links, crowd = _wide_links(members.select("fp", "node"))
+    same, roots = _verified(own, members, links, None)
+    if crowd is not None and not crowd.isEmpty():
+        deeper = _deeper_links(crowd, roots)
+        if not deeper.isEmpty():
+            roots = _verified(own, members, deeper, same)[1]
+    return own.select("row", "id", "node").join(roots, "node", "left").select("row", "id", F.coalesce("root", "node").alias("root"))
+
+
+def _verified(own: DataFrame, members: DataFrame, links: DataFrame, same: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(lo, hi) of ``links`` alike in shingles, besides those of ``same``, as far as groups need them; and (node, root) of the groups."""
     linked = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct()
     # a table, so that its size is known when it meets the texts
     shown = cut(members.join(linked, "node").groupBy("node").agg(F.min("row").alias("row")), "shown")
     with small_batches(own.sparkSession):
         sets = cut(own.join(shown.select("row"), "row").select("node", _shingles("text").alias("s")), "shingles")
-    same, open_ = None, links
+    open_ = links
     for nearest in (NEAREST, None):
         near = open_
         if nearest is not None:
@@ -302,15 +330,14 @@ def _grouped(own: DataFrame, id_col: str, text_col: str) -> DataFrame:
         alike = near.join(lo, "lo").join(hi, "hi").where((F.size("a") >= SIMILAR * F.size("b")) & (F.size("b") >= SIMILAR * F.size("a")))
         alike = alike.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("lo", "hi")
         same = cut(alike if same is None else alike.union(same), "alike")
-        roots = components(same, "lo", "hi")
+        roots = cut(components(same, "lo", "hi"), "roots")
         if nearest is not None:
-            roots = cut(roots, "roots")
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
             apart = open_.join(near.select("lo", "hi"), ["lo", "hi"], "left_anti").join(of("lo"), "lo", "left").join(of("hi"), "hi", "left")
             open_ = cut(apart.where(F.coalesce("lo_root", "lo") != F.coalesce("hi_root", "hi")).select("lo", "hi", "bits"), "links")
             if open_.isEmpty():
                 break
-    return own.select("row", "id", "node").join(roots, "node", "left").select("row", "id", F.coalesce("root", "node").alias("root"))
+    return same, roots
 
 
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
