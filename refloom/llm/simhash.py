@@ -229,6 +229,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return own.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def hex_digits(fp: Column | str) -> Column:
+    """The 16 lowercase hex digits of a fingerprint held as a signed long."""
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def _wide_keyed(members: DataFrame, level: int) -> DataFrame:
     # the masks are one literal, so the generated code stays small however many keys there are
     masks = F.posexplode(F.array(*[F.lit(m) for m in WIDE_PARTITIONS[level]]))

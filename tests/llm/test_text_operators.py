@@ -82,6 +82,22 @@ def test_near_duplicate_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_groups(prints)))
 
 
+def test_query_of_groups(spark, tmp_path):
+    """op1's query as registered: its columns, leading zeros and the top bit of fingerprints included."""
+    from refloom.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    base = [prose(rng, n) for n in range(3, 63)]
+    texts = [*EDGES, *base, *base[:9], *(b + " tail" for b in base)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_simhash"](spark, str(tmp_path))
+    assert [*found.dtypes[:3]] == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    prints = [plain_print(t) for t in texts]
+    assert any(p >> 63 for p in prints) and any(not p >> 60 for p in prints[len(EDGES) :])
+    want = [(i, f"{p:016x}", c) for i, (p, c) in enumerate(zip(prints, brute_groups(prints), strict=True))]
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in found.collect()) == want
+
+
 def test_keep_one_with_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b = prose(rng, 80), prose(rng, 80)
