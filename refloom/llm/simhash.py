@@ -17,16 +17,16 @@ each link is made once. Exact copies have one fingerprint and are counted once
 from the start.
 
 ``near_groups`` is the stage for near copies: texts whose sets of five-word
-shingles have a Jaccard similarity of SIMILAR or more. Fingerprints of shingles
-differ in some ten bits there, so it blocks on fingerprints of the distinct words
-instead, which differ in few, links at WIDE bits and verifies each link on the
-shingles themselves. Its key is made of three out of eight blocks: up to five
-differing bits always share one, more mostly do. A key with few texts gives all
-their pairs; in one with many each text meets the least of its bucket, so that
-pairs grow with the texts. What these links leave apart is split by a second
-partition, and only parts that hold several groups are looked at again. Links are
-verified nearest first, and those inside a group that is already known are not
-needed. What may be missed is measured in the tests and told in the README.
+shingles have a Jaccard similarity of SIMILAR or more, by an exact join over
+prefixes. All shingles are put in one order, common ones last; two texts that
+are alike share a shingle among the first fifth (and one more) of each, since
+their first common shingle has at least four fifths of either set from there on.
+Any order will do, so what is common is counted on a sample. Keys are those
+shingles. In a key of few texts all pairs are links; in one of many each text
+first meets the least of its key. A text's nearest links are verified on the whole
+sets and give groups; then *every* pair of a key whose texts are still in different
+groups is verified too, crowded keys included, so no link that would join
+two groups is lost, and pairs inside a group are never made.
 
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero and links like any other; fewer words than a shingle make one shingle of
@@ -53,8 +53,12 @@ BLOCKS = 6
 SEED = 42
 #: Members of a bucket that are compared with each other; a larger bucket is split.
 CROWD = 128
-#: The stage for near copies: words of a shingle, similarity, differing bits of the words' fingerprints, and texts of a key that all meet.
-SHINGLE, SIMILAR, WIDE, FEW = 5, 0.8, 10, 8
+#: The stage for near copies: words of a shingle, similarity (numerator, denominator), and texts of a key that all meet at once.
+SHINGLE, SIMILAR, FEW = 5, (4, 5), 8
+#: One text of SAMPLE tells how common shingles are; those of COMMON sampled texts or more, MOST_COMMON at most, come last in the order.
+SAMPLE, COMMON, MOST_COMMON = 8, 3, 200_000
+#: Longs of a set's parity, a power of two.
+PARITY = 8
 #: Links of a text that are verified first.
 NEAREST = 2
 #: Keys of several texts that are broadcast; more are shuffled.
@@ -109,36 +113,53 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([v - (1 << 64) if v >> 63 else v for v in values], dtype="int64")
 
 
-_PROFILE = T.StructType([T.StructField("fp", T.LongType()), T.StructField("node", T.LongType())])
-
-
-@F.pandas_udf(_PROFILE)
-def _profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The fingerprint of a text's distinct words, and a hash of its words in order."""
+def _shingle_hashes(words: list[bytes]):
+    """The hashes of the distinct shingles of SHINGLE words, ascending; of fewer words, the one of them all."""
+    import numpy as np
     import xxhash
 
-    for texts in batches:
-        prints, nodes = [], []
-        for t in texts:  # one text's words at a time
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            prints.append(_majority([xxhash.xxh64_intdigest(w, SEED) for w in set(words)]))
-            nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-        yield pd.DataFrame({"fp": _as_long(prints), "node": _as_long(nodes)})
+    rows = [b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)] or [b" ".join(words)]
+    return np.unique(_as_long([xxhash.xxh64_intdigest(r, SEED) for r in rows]))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The hashes of a text's distinct shingles of SHINGLE words; of fewer words, the one of them all."""
-    import xxhash
-
     for texts in batches:
         for lo in range(0, len(texts), 256):
-            out = []
-            for t in texts.iloc[lo : lo + 256]:
-                ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                rows = [b" ".join(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)] or [b" ".join(ws)]
-                out.append(_as_long(sorted({xxhash.xxh64_intdigest(r, SEED) for r in rows})).tolist())
-            yield pd.Series(out)
+            yield pd.Series([_shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split()).tolist() for t in texts.iloc[lo : lo + 256]])
+
+
+_PROFILE = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
+
+
+def _profiles(common, times):
+    """A hash of a text's words in order, the size of its set of shingles, the set's prefix in the order of (times, hash), and the
+    set's parity: 64 * PARITY bits, each of which a shingle of that remainder turns."""
+    import numpy as np
+
+    top, bottom = SIMILAR
+
+    @F.pandas_udf(_PROFILE)
+    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for texts in batches:
+            nodes, sizes, keys, parity = [], [], [], []
+            for t in texts:  # one text's words at a time
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                s = _shingle_hashes(words)
+                rank = np.zeros(len(s), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rank = np.where(common[at] == s, times[at], 0)
+                sizes.append(len(s))
+                keys.append(s[np.lexsort((s, rank))[: len(s) + 1 + (-top * len(s)) // bottom]].tolist())
+                turned = np.bincount(s & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(turned.astype(np.uint8), bitorder="little").view("<i8").tolist())
+            yield pd.DataFrame({"node": _as_long(nodes), "n": sizes, "keys": keys, "parity": parity})
+
+    return profiles
 
 
 def _as_long(values: list[int]):
@@ -164,7 +185,6 @@ def _partitions(blocks: int, taken: int) -> list[list[int]]:
 
 
 PARTITIONS = _partitions(BLOCKS, BLOCKS - BITS)
-WIDE_PARTITIONS = _partitions(8, 3)
 
 
 def _near(lo: Column, hi: Column) -> Column:
@@ -234,68 +254,26 @@ def hex_digits(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _wide_keyed(members: DataFrame, level: int) -> DataFrame:
-    # the masks are one literal, so the generated code stays small however many keys there are
-    masks = F.posexplode(F.array(*[F.lit(m) for m in WIDE_PARTITIONS[level]]))
-    each = members.select("*", masks.alias(f"k{level}", "mask"))
-    return each.select(*members.columns, f"k{level}", F.col("fp").bitwiseAND(F.col("mask")).alias(f"key{level}"))
-
-
-def _wide_links(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(lo, hi, bits): pairs of nodes of ``members`` (fp, node) that share a key and differ in at most WIDE bits, each once;
-    and the rows of crowded keys, in which each has met the least of its key alone."""
-    me = F.struct("fp", "node")
-    keyed, path = _wide_keyed(members, 0), ["k0", "key0"]
-    # most keys are of one text: keys are counted first, and only rows of the others move
-    shared = cut(keyed.groupBy(F.xxhash64(*path).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
-    held = F.broadcast(shared) if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else shared
-    keyed = cut(keyed.withColumn("h", F.xxhash64(*path)).join(held, "h", "left_semi").drop("h"), "keyed")
-    sizes = cut(keyed.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("least"), F.max(me).alias("most")).where("n > 1"), "keys")
-    found = [sizes.where("n = 2").select("least", F.col("most").alias("other"))]
-    several, crowd = sizes.where("n > 2"), None
-    if not several.isEmpty():
-        grouped = cut(keyed.join(several.select(*path, "n"), path), "members")
-        small = grouped.where(F.col("n") <= FEW).select(*path, me.alias("me"))
-        pair = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in path] + [F.col("a.me") < F.col("b.me")]
-        found.append(small.alias("a").join(small.alias("b"), pair).select(F.col("a.me").alias("least"), F.col("b.me").alias("other")))
-        crowd = grouped.where(F.col("n") > FEW).drop("n")
-        leaders = sizes.where(F.col("n") > FEW).select(*path, "least")
-        found.append(crowd.join(leaders, path).select("least", me.alias("other")))
-    return _close(found), crowd
-
-
-def _deeper_links(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """(lo, hi, bits): in each part of a crowded key, the rows of another root meet the part's least and greatest by root.
+def _common(docs: DataFrame, text_col: str):
+    """(hashes ascending, sampled texts that have each) of the commonest shingles of a sample of distinct texts."""
+    import numpy as np
 
-    A part whose rows have one root already has nothing to add and goes before the join.
-    """
-    me = F.struct("fp", "node")
-    rooted = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parted, path = _wide_keyed(rooted, 1), ["k0", "key0", "k1", "key1"]
-    end = F.struct(F.col("root"), me.alias("me"))
-    # most parts are of one root: the roots' ends tell, and only the others are told by row
-    mixed = parted.groupBy(*path).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*path)
-    held = cut(parted.join(cut(mixed, "mixed"), path, "left_semi"), "parted")
-    ends = cut(held.groupBy(*path).agg(F.min(end).alias("first"), F.max(end).alias("last")), "ends")
-    within = held.join(ends, path)
-    return _close([within.where(F.col("root") != F.col(f"{e}.root")).select(F.col(f"{e}.me").alias("least"), me.alias("other")) for e in ("first", "last")])
-
-
-def _close(found: list[DataFrame]) -> DataFrame:
-    """(lo, hi, bits) of the pairs (least, other) that differ in at most WIDE bits, each once."""
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    bits = F.bit_count(F.col("least.fp").bitwiseXOR(F.col("other.fp")))
-    links = links.select(F.least("least.node", "other.node").alias("lo"), F.greatest("least.node", "other.node").alias("hi"), bits.alias("bits"))
-    return cut(links.where((F.col("lo") < F.col("hi")) & (F.col("bits") <= WIDE)).groupBy("lo", "hi").agg(F.min("bits").alias("bits")), "links")
+    drawn = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("x")).where(F.pmod("x", F.lit(SAMPLE)) == 0)
+    each = drawn.groupBy("x").agg(F.first("t").alias("t")).select(F.explode(_shingles("t")).alias("h"))
+    counted = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    with small_batches(docs.sparkSession):
+        found = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    hashes, times = found["h"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
 
 
 def _profiled(docs: DataFrame, text_col: str) -> DataFrame:
-    """(row, doc, fp, node) of every row, written once; ``row`` tells rows apart whatever their ids, ``doc`` holds all their columns."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), _profiles(F.col(text_col)).alias("p"))
+    """(row, doc, node, n, keys, parity) of every row, written once; ``row`` tells rows apart whatever their ids, ``doc`` holds all their columns."""
+    profiles = _profiles(*_common(docs, text_col))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), profiles(F.col(text_col)).alias("p"))
     with small_batches(docs.sparkSession):
-        return cut(own.select("row", "doc", "p.fp", "p.node"), "profiles")
+        return cut(own.select("row", "doc", "p.*"), "profiles")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,46 +281,96 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _grouped(_profiled(docs, text_col), id_col, text_col)
 
 
+def _sized(a: str, b: str) -> Column:
+    """Sets of these sizes can be alike."""
+    top, bottom = SIMILAR
+    return (F.col(a) * bottom >= F.col(b) * top) & (F.col(b) * bottom >= F.col(a) * top)
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """(lo, hi, shared): each pair once, with the number of keys it was found in."""
+    return pairs.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _met(keyed: DataFrame, *more: Column) -> DataFrame:
+    """(lo, hi) of the texts of each key of ``keyed`` (h, node, n, pos) that can be alike if they share nothing before that key.
+
+    They share at most what either has from the key on; the first key of texts that are alike leaves them enough.
+    """
+    top, bottom = SIMILAR
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    enough = left * (top + bottom) >= (F.col("a.n") + F.col("b.n")) * top
+    pair = [F.col("a.h") == F.col("b.h"), F.col("a.node") < F.col("b.node"), _sized("a.n", "b.n"), enough, *more]
+    return keyed.alias("a").join(keyed.alias("b"), pair).select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi"))
+
+
+def _key_links(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lo, hi, shared): the pairs of keys with few texts, and in the others each text with the least; and the rows (h, node, n, pos) of the others."""
+    keyed = own.select(F.posexplode("keys").alias("pos", "h"), "node", "n")
+    # most keys are of one text: keys are told first, and only rows of the others move
+    shared = cut(keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "shared")
+    held = F.broadcast(shared) if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else shared
+    keyed = cut(keyed.join(held, "h", "left_semi").distinct(), "keyed")
+    sizes = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("least")), "keys")
+    grouped = cut(keyed.join(sizes, "h"), "members")
+    crowd = grouped.where(F.col("m") > FEW)
+    stars = crowd.where((F.col("node") != F.col("least.node")) & _sized("n", "least.n")).select(F.col("least.node").alias("lo"), F.col("node").alias("hi"))
+    few = grouped.where(F.col("m") <= FEW).select("h", "node", "n", "pos")
+    return cut(_pairs(_met(few).union(stars)), "links"), crowd.select("h", "node", "n", "pos")
+
+
+def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` whose ends are in different groups, with the groups (lo_root, hi_root)."""
+    for c in ("lo", "hi"):
+        links = links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return links.where("lo_root <> hi_root")
+
+
+def _crowd_links(crowd: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(lo, hi): all pairs of crowded keys whose texts are in different groups; keys of one group have nothing to add.
+
+    Two sets differ in as many shingles as their parities in bits, at least, so pairs that differ too much are not made.
+    """
+    top, bottom = SIMILAR
+    parity = [f"p{i}" for i in range(PARITY)]
+    told = crowd.join(members.select("node", *parity), "node").join(roots, "node", "left")
+    rooted = cut(told.withColumn("root", F.coalesce("root", "node")), "rooted")
+    differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity), F.lit(0))
+    close = differ * (bottom + top) <= (F.col("a.n") + F.col("b.n")) * (bottom - top)
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    return _met(cut(rooted.join(mixed, "h", "left_semi"), "mixed"), F.col("a.root") != F.col("b.root"), close).distinct()
+
+
 def _grouped(own: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = own.select("row", "fp", "node", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
-    members = cut(own.groupBy("fp", "node").agg(F.min("row").alias("row")), "texts")
-    links, crowd = _wide_links(members.select("fp", "node"))
-    same, roots = _verified(own, members, links, None)
-    if crowd is not None and not crowd.isEmpty():
-        deeper = _deeper_links(crowd, roots)
-        if not deeper.isEmpty():
-            roots = _verified(own, members, deeper, same)[1]
+    links, crowd = _key_links(own)
+    own = own.select("row", "node", "parity", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    members = cut(own.groupBy("node").agg(F.min("row").alias("row"), *[F.min(F.col("parity")[i]).alias(f"p{i}") for i in range(PARITY)]), "texts")
+    rank = F.row_number().over(Window.partitionBy("hi").orderBy(F.desc("shared"), "lo"))
+    near = cut(links.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("lo", "hi"), "nearest")
+    roots = cut(components(_alike(own, members, near), "lo", "hi"), "roots")
+    rest = _apart(links.select("lo", "hi"), roots).select("lo", "hi").union(_apart(_crowd_links(crowd, members, roots), roots).select("lo", "hi")).distinct()
+    rest = cut(rest.join(near, ["lo", "hi"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        joined = components(_apart(_alike(own, members, rest), roots), "lo_root", "hi_root")
+        again = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        # a group that joins another, and a text that was in none
+        old = roots.join(again, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        roots = cut(old.union(joined.join(roots, "node", "left_anti").select("node", "root")), "roots")
     return own.select("row", "id", "node").join(roots, "node", "left").select("row", "id", F.coalesce("root", "node").alias("root"))
 
 
-def _verified(own: DataFrame, members: DataFrame, links: DataFrame, same: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(lo, hi) of ``links`` alike in shingles, besides those of ``same``, as far as groups need them; and (node, root) of the groups."""
+def _alike(own: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """(lo, hi) of ``links`` alike in shingles."""
+    top, bottom = SIMILAR
     linked = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct()
     # a table, so that its size is known when it meets the texts
-    shown = cut(members.join(linked, "node").groupBy("node").agg(F.min("row").alias("row")), "shown")
+    shown = cut(members.join(linked, "node").select("row"), "shown")
     with small_batches(own.sparkSession):
-        sets = cut(own.join(shown.select("row"), "row").select("node", _shingles("text").alias("s")), "shingles")
-    open_ = links
-    for nearest in (NEAREST, None):
-        near = open_
-        if nearest is not None:
-            # a text has as many links as its keys give it
-            rank = F.row_number().over(Window.partitionBy("hi").orderBy("bits", "lo"))
-            near = open_.withColumn("rank", rank).where(F.col("rank") <= nearest).drop("rank")
-        lo, hi = sets.select(F.col("node").alias("lo"), F.col("s").alias("a")), sets.select(F.col("node").alias("hi"), F.col("s").alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        # similarities are of sizes that differ by little
-        alike = near.join(lo, "lo").join(hi, "hi").where((F.size("a") >= SIMILAR * F.size("b")) & (F.size("b") >= SIMILAR * F.size("a")))
-        alike = alike.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("lo", "hi")
-        same = cut(alike if same is None else alike.union(same), "alike")
-        roots = cut(components(same, "lo", "hi"), "roots")
-        if nearest is not None:
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
-            apart = open_.join(near.select("lo", "hi"), ["lo", "hi"], "left_anti").join(of("lo"), "lo", "left").join(of("hi"), "hi", "left")
-            open_ = cut(apart.where(F.coalesce("lo_root", "lo") != F.coalesce("hi_root", "hi")).select("lo", "hi", "bits"), "links")
-            if open_.isEmpty():
-                break
-    return same, roots
+        sets = cut(own.join(shown, "row").select("node", _shingles("text").alias("s")), "shingles")
+    lo, hi = sets.select(F.col("node").alias("lo"), F.col("s").alias("a")), sets.select(F.col("node").alias("hi"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = links.join(lo, "lo").join(hi, "hi").where(both * bottom >= (F.size("a") + F.size("b") - both) * top)
+    return cut(alike.select("lo", "hi"), "alike")
 
 
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -150,6 +150,40 @@ def test_near_copies(spark, monkeypatch):
     assert sorted(ids) == sorted({min(i for i in range(n) if groups[i] == g) for g in groups.values()})
 
 
+def test_near_copies_lose_no_group(spark):
+    """Groups are those of brute force where keys are crowded: sliding windows whose ends are unlike, a large group edited at the bound, a shared passage."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    long, core, passage = ([word() for _ in range(n)] for n in (900, 120, 60))
+    texts = [" ".join(long[i : i + 200]) for i in range(0, 700, 12)]
+    for n_edits in [3] * 20 + [2] * 20 + [4] * 20:
+        edited = list(core)
+        for at in rng.sample(range(120), n_edits):
+            edited[at] = word()
+        texts.append(" ".join(edited))
+    texts += [" ".join(passage + [word() for _ in range(rng.randrange(1, 20))]) for _ in range(60)]
+    rng.shuffle(texts)
+    n = len(texts)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if find(i) != find(j) and jaccard(texts[i], texts[j]) >= 0.8:
+                root[find(i)] = find(j)
+    groups = {r.id: r.root for r in simhash.near_groups(docs(spark, texts)).collect()}
+    want, got = {}, {}
+    for i in range(n):
+        want.setdefault(find(i), []).append(i)
+        got.setdefault(groups[i], []).append(i)
+    assert max(map(len, want.values())) >= 50 and len(want) >= 5
+    assert sorted(got.values()) == sorted(want.values())
+
+
 def test_near_copies_defined_cases(spark):
     rng = random.Random(22)
     a, b = prose(rng, 80), prose(rng, 80)
