@@ -2,8 +2,11 @@
 
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from refloom.llm import urlfilter, vafile
+from refloom.llm import scratch, urlfilter, vafile
 from refloom.llm.components import components
 from refloom.llm.q_urlfilter import RULES
 from refloom.llm.urlfilter import Rule
@@ -124,3 +127,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["mixing"] < kept["decontamination"] and len(kept["mixing"]) > 0.8 * len(kept["decontamination"])
     assert kept["sharding"] == kept["mixing"] and set(now.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "shard"}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == kept["sharding"]
+
+
+def test_pipeline_scores_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    """A text that goes to Python with over BATCH_ROWS others would be dropped here, when the caller writes the stage as when it counts it."""
+    most, path = scratch.BATCH_ROWS, str(tmp_path / "documents.parquet")
+    spark.range(5 * most).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")).coalesce(1).write.parquet(path)
+
+    def score(docs, model, out):
+        @F.pandas_udf("double")
+        def crowded(texts: pd.Series) -> pd.Series:
+            return pd.Series([float(len(texts) > most)] * len(texts))
+
+        return docs.withColumn(out, crowded("text"))
+
+    monkeypatch.setattr(corpus_pipeline, "load", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", score)
+    before = {key: spark.conf.get(key) for key in scratch._BATCHES}
+    assert corpus_pipeline.drop_toxic(spark, spark.read.parquet(path), "").count() == 5 * most
+    assert {key: spark.conf.get(key) for key in scratch._BATCHES} == before
