@@ -254,7 +254,10 @@ def entries(spark, sf):
 
 @_query("freshness_max", "SELECT max(epoch(ts)::BIGINT) AS newest FROM events")
 def freshness_max(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("newest"))
+    """To the nearest second, halves to the even one. The time bears no zone, so the session's doesn't count."""
+    last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts").cast("timestamp_ntz").cast("string").alias("ts"))
+    micros = F.unix_micros(F.concat("ts", F.lit("Z")).cast("timestamp"))
+    return last.select(F.rint(micros / F.lit(1e6)).cast("bigint").alias("newest"))
 
 
 @_query("path_shapes", "SELECT url AS token, false AS is_path FROM pages UNION ALL SELECT split_part(url, '://', 2), NOT regexp_matches(split_part(url, '://', 2), '(^|/)(/|$)') AND contains(split_part(url, '://', 2), '/') FROM pages")
