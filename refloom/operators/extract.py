@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.functions import grammar
-from refloom.operators.lines import line_array, visible_lines
+from refloom.operators.lines import given_extension, visible_lines
 from refloom.operators.symbols import python_symbols, rust_symbols
 
 MARKDOWN, GHERKIN, RUST, PYTHON = ("md", "markdown"), ("feature",), ("rs",), ("py", "pyi", "pyw")
@@ -31,36 +31,34 @@ FORWARD = T.StructType([T.StructField("anchor", T.StringType()), T.StructField("
 
 
 def markdown_titles(files: DataFrame) -> DataFrame:
-    """(path, line, title, rank): ATX headings outside fenced and indented code."""
-    seen = visible_lines(files, _BLOCK_FENCE).where(F.col("text").rlike(_HEADING))
+    """(path, line, title, rank, total): ATX headings outside fenced and indented code; total is the file's number of lines."""
+    seen = visible_lines(files, _BLOCK_FENCE, lambda text: text.rlike(_HEADING))
     title = grammar.trim(F.regexp_extract("text", _HEADING, 2))
-    return seen.select("path", "line", title.alias("title"), F.length(F.regexp_extract("text", _HEADING, 1)).alias("rank")).where(title != "")
+    return seen.select("path", "line", title.alias("title"), F.length(F.regexp_extract("text", _HEADING, 1)).alias("rank"), "total").where(title != "")
 
 
 def gherkin_titles(files: DataFrame) -> DataFrame:
-    """(path, line, title, rank) outside docstrings."""
-    seen = visible_lines(files, _DOCSTRING).where(F.col("text").rlike(_TITLE))
+    """(path, line, title, rank, total) outside docstrings."""
+    seen = visible_lines(files, _DOCSTRING, lambda text: text.rlike(_TITLE))
     keyword = F.regexp_extract("text", _TITLE, 1)
     rank = F.when(keyword == "Feature", 1).when(keyword == "Rule", 2).otherwise(3)
     title = grammar.trim(F.regexp_replace("text", _TITLE, ""))
-    return seen.select("path", "line", title.alias("title"), rank.alias("rank")).where(title != "")
+    return seen.select("path", "line", title.alias("title"), rank.alias("rank"), "total").where(title != "")
 
 
-def sections(titles: DataFrame, totals: DataFrame, ranks: int) -> DataFrame:
-    """Add end_line: before the next title of rank at most one's own, or the last line. ``totals`` has (path, total)."""
+def sections(titles: DataFrame, ranks: int) -> DataFrame:
+    """Replace total by end_line: before the next title of rank at most one's own, or the last line."""
     # from the last title backwards, so that each frame grows by a row instead of being summed anew
     later = Window.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
     end: Column = F.lit(None).cast("bigint")
     for k in range(ranks, 0, -1):
         end = F.when(F.col("rank") == k, F.min(F.when(F.col("rank") <= k, F.col("line"))).over(later)).otherwise(end)
-    ended = titles.withColumn("_next", end).join(totals, "path")
-    return ended.withColumn("end_line", F.coalesce(F.col("_next") - 1, F.greatest("total", "line"))).drop("_next", "total")
+    return titles.withColumn("_next", end).withColumn("end_line", F.coalesce(F.col("_next") - 1, F.greatest("total", "line"))).drop("_next", "total")
 
 
-def _section_anchors(files: DataFrame, titles: DataFrame, ranks: int, records: bool) -> DataFrame:
-    totals = files.select("path", F.size(line_array(F.col("content"))).cast("bigint").alias("total"))
+def _section_anchors(titles: DataFrame, ranks: int, records: bool) -> DataFrame:
     name = F.coalesce(grammar.record_id(F.col("title")), F.col("title")) if records else F.col("title")
-    return sections(titles, totals, ranks).select(name.alias("anchor"), F.col("path").alias("file"), F.col("line").alias("start_line"), "end_line")
+    return sections(titles, ranks).select(name.alias("anchor"), F.col("path").alias("file"), F.col("line").alias("start_line"), "end_line")
 
 
 def _symbols(files: DataFrame, find) -> DataFrame:
@@ -74,19 +72,22 @@ def _symbols(files: DataFrame, find) -> DataFrame:
 
 #: Language: its extensions and how a frame of its files becomes anchors. Further ones may be registered.
 LANGUAGES = {
-    "markdown": (MARKDOWN, lambda f: _section_anchors(f, markdown_titles(f), DEEPEST, True)),
-    "gherkin": (GHERKIN, lambda f: _section_anchors(f, gherkin_titles(f), 3, False)),
+    "markdown": (MARKDOWN, lambda f: _section_anchors(markdown_titles(f), DEEPEST, True)),
+    "gherkin": (GHERKIN, lambda f: _section_anchors(gherkin_titles(f), 3, False)),
     "rust": (RUST, lambda f: _symbols(f, rust_symbols)),
     "python": (PYTHON, lambda f: _symbols(f, python_symbols)),
 }
 
 
 def anchors(files: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """(anchor, file, start_line, end_line, language) of every definition. Files without content have none."""
+    """(anchor, file, start_line, end_line, language) of every definition. Files without content have none.
+
+    ``files`` has (path, content), and may have extension.
+    """
     out = None
     for name in languages or tuple(LANGUAGES):
         extensions, read = LANGUAGES[name]
-        own = files.where(grammar.path_extension(F.col("path")).isin(*extensions) & F.col("content").isNotNull())
+        own = files.where(given_extension(files, grammar.path_extension).isin(*extensions) & F.col("content").isNotNull())
         part = read(own).withColumn("language", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +19,9 @@ MARKDOWN = ("md", "markdown")
 
 def line_array(content: Column) -> Column:
     """Lines without their ends; \\r goes only before \\n, and a last empty piece is no line."""
-    unix = F.replace(content, F.lit("\r\n"), F.lit("\n"))
-    body = F.when(unix.endswith("\n"), F.left(unix, F.length(unix) - 1)).otherwise(unix)
-    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+    without = lambda n: F.left(content, F.length(content) - n)
+    body = F.when(content.endswith("\r\n"), without(2)).when(content.endswith("\n"), without(1)).otherwise(content)
+    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\r?\n"))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -49,18 +49,27 @@ def closed_regions(all_lines: Column, opener: str) -> Column:
     return F.aggregate(marks, start, step, rest)
 
 
-def visible_lines(files: DataFrame, opener: str = _FENCE) -> DataFrame:
-    """(path, line, text) outside the regions that ``opener`` delimits, delimiters left out too."""
+def visible_lines(files: DataFrame, opener: str = _FENCE, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, line, text, total) outside the regions that ``opener`` delimits, delimiters left out too; total is the file's number of lines.
+
+    ``keep`` says of a text whether its line is wanted. It is asked before lines become rows.
+    """
     cut = files.select("path", line_array(F.col("content")).alias("all")).withColumn("hidden", closed_regions(F.col("all"), opener))
+    at = F.transform("all", lambda text, i: F.struct(i.alias("i"), text.alias("text")))
+    at = at if keep is None else F.filter(at, lambda x: keep(x["text"]))
+    seen = F.filter(at, lambda x: ~F.exists("hidden", lambda h: x["i"].between(h["first"], h["last"])))
     # the outer kind of explode, for Catalyst infers no filter from it and so doesn't repeat the split
-    each = cut.select("path", "hidden", F.posexplode_outer("all").alias("i", "text")).where(F.col("i").isNotNull())
-    seen = each.where(~F.exists("hidden", lambda h: F.col("i").between(h["first"], h["last"])))
-    return seen.select("path", (F.col("i") + 1).cast("bigint").alias("line"), "text")
+    each = cut.select("path", F.size("all").cast("bigint").alias("total"), F.explode_outer(seen).alias("at")).where(F.col("at").isNotNull())
+    return each.select("path", (F.col("at.i") + 1).cast("bigint").alias("line"), "at.text", "total")
+
 
+def given_extension(files: DataFrame, of_path: Callable[[Column], Column]) -> Column:
+    """The column extension, where the source knows it: a constant of each part of a union, so that Catalyst drops whole parts. Else by the path."""
+    return F.col("extension") if "extension" in files.columns else of_path(F.col("path"))
 
-def host(path: Column, scan: Mapping[str, Sequence[str]]) -> Column:
+
+def host(ext: Column, scan: Mapping[str, Sequence[str]]) -> Column:
     """markdown, the name of a language of which comments are read, or plain."""
-    ext = grammar.text_extension(path)
     out = F.when(ext.isin(*MARKDOWN), "markdown")
     for language, eligible in scan.items():
         if "comments" in eligible and language in SYNTAX:
@@ -68,8 +77,8 @@ def host(path: Column, scan: Mapping[str, Sequence[str]]) -> Column:
     return out.otherwise("plain")
 
 
-def _markdown_segments(files: DataFrame) -> DataFrame:
-    seen = visible_lines(files)
+def _markdown_segments(files: DataFrame, keep: Callable[[Column], Column] | None) -> DataFrame:
+    seen = visible_lines(files, keep=keep)
     ticked = F.instr("text", "`") > 0
     spans = F.when(ticked, F.regexp_extract_all("text", F.lit(_SPAN), F.lit(2))).otherwise(F.array().cast("array<string>"))
     # a line holds no \n, so it can stand for a span between the prose pieces
@@ -90,12 +99,15 @@ def _comment_segments(files: DataFrame, language: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, _SEGMENT)
 
 
-def segments(files: DataFrame, scan: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(path, line, segment_no, is_span, text): everything the scanners read, under each file's region rules."""
+def segments(files: DataFrame, scan: Mapping[str, Sequence[str]] | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, line, segment_no, is_span, text): everything the scanners read, under each file's region rules.
+
+    Of Markdown, lines whose whole text ``keep`` denies are left out before they are parted.
+    """
     scan = scan or {}
-    hosted = files.select("path", "content", host(F.col("path"), scan).alias("host"))
+    hosted = files.select("path", "content", host(given_extension(files, grammar.text_extension), scan).alias("host"))
     plain = lines(hosted.where("host = 'plain'")).select("path", "line", F.lit(0).alias("segment_no"), F.lit(False).alias("is_span"), "text")
-    out = _markdown_segments(hosted.where("host = 'markdown'")).unionByName(plain)
+    out = _markdown_segments(hosted.where("host = 'markdown'"), keep).unionByName(plain)
     for language, eligible in scan.items():
         if "comments" in eligible and language in SYNTAX:
             out = out.unionByName(_comment_segments(hosted.where(F.col("host") == language), language))

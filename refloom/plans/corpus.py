@@ -31,6 +31,9 @@ _RS = ("supplier", "'src/s' || s_suppkey || '.rs'", [
     "'    let u = \"http://x\"; // see src/s' || s_suppkey || '.rs and src/none.rs'", "'    x'", "'}'",
 ])
 KINDS = {"md": _MD, "feature": _FEATURE, "py": _PY, "rs": _RS}
+#: The column that tells a table's rows apart, and the tasks a core that its rows are dealt out to.
+KEYS = {"md": "doc_id", "feature": "c_custkey", "py": "p_partkey", "rs": "s_suppkey"}
+SPREAD = 3
 SCAN = {"python": ["comments"], "rust": ["comments"]}
 
 
@@ -46,11 +49,18 @@ def sql(*kinds: str) -> str:
     return " UNION ALL ".join("SELECT {} AS path, {} AS content FROM {}".format(*_columns(k), KINDS[k][0]) for k in kinds or KINDS)
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, where the table lies in fewer files than there are cores: a few MB of keys make a million files."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(SPREAD * cores, key)
+
+
 def files(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """(path, content) of the given kinds of files, or of all."""
+    """(path, content, extension) of the given kinds of files, or of all. A kind is its files' extension."""
     out = None
     for kind in kinds or KINDS:
         path, content = _columns(kind)
-        part = spark.read.parquet(f"{sf_dir}/{KINDS[kind][0]}.parquet").selectExpr(f"{path} AS path", f"{content} AS content")
+        table, key = KINDS[kind][0], KEYS[kind]
+        part = _dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"), key).selectExpr(f"{path} AS path", f"{content} AS content", f"'{kind}' AS extension")
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from refloom.plans import registry
+from refloom.plans import corpus, registry
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
@@ -22,3 +23,29 @@ def test_newest_event_is_rounded(spark, tmp_path, zone):
             assert registry.QUERIES["freshness_max"](spark, str(sf)).first()["newest"] == want, newest
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def reads(df):
+    """How many tables the plan reads, and how many times it starts Python."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation ["), plan.count("MapInPandas")
+
+
+@pytest.mark.parametrize("name", ["locations_parsed", "prefix_complete", "anchor_multiplicity"])
+def test_extraction_reads_each_table_once(spark, name):
+    """No second pass for the lengths of files, and no language on other languages' files."""
+    assert reads(registry.QUERIES[name](spark, SF)) == (4, 2)
+
+
+def test_positions_are_covered_in_one_pass_more(spark):
+    for name in ("covering_batch", "at_all_nest"):
+        assert reads(registry.QUERIES[name](spark, SF)) == (8, 2), name
+
+
+def test_small_tables_are_dealt_out(spark):
+    for kind in corpus.KINDS:
+        tasks = corpus.files(spark, SF, kind).select(F.spark_partition_id()).distinct().count()
+        assert tasks >= min(4, spark.sparkContext.defaultParallelism), kind
