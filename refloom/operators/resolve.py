@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,35 +20,53 @@ def with_prefix(forward: DataFrame, prefix: str) -> DataFrame:
     return forward.where(F.col("anchor").startswith(prefix)).select("anchor").distinct()
 
 
-def counts(forward: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(anchor, n) and (anchor, file, n): definitions counted before any join."""
-    by_file = forward.groupBy("anchor", "file").agg(F.count(F.lit(1)).alias("n"))
-    return by_file.groupBy("anchor").agg(F.sum("n").alias("n")), by_file
+def counts(forward: DataFrame) -> DataFrame:
+    """(anchor, n): definitions counted before any join."""
+    return forward.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reference_counts(forward: DataFrame) -> DataFrame:
+    """(ref, n): every reference that finds a definition, with how many. Definitions are read once.
+
+    A name finds all its definitions; file#name, which ``grammar.qualifier`` parts
+    at the first #, finds those in the file unless it is a name itself.
+    """
+    parted = (F.instr("file", "#") == 0) & (F.length("file") > 0) & (F.length("anchor") > 0)
+    part = F.when(parted, F.concat("file", F.lit("#"), "anchor"))
+    keys = F.array(F.struct(F.col("anchor").alias("ref"), F.lit(True).alias("whole")), F.struct(part.alias("ref"), F.lit(False).alias("whole")))
+    each = forward.select(F.explode(keys).alias("k")).select("k.*").where(F.col("ref").isNotNull())
+    counted = each.groupBy("ref").agg(F.count_if("whole").alias("whole"), F.count_if(~F.col("whole")).alias("part"))
+    return counted.select("ref", F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("part")).alias("n"))
 
 
 def count_definitions(refs: DataFrame, forward: DataFrame, ref_col: str = "anchor") -> DataFrame:
-    """Add n_defs: definitions of the whole name or, if there are none, of the name in the qualifying file.
+    """Add n_defs: definitions of the whole name or, if there are none, of the name in the qualifying file; null for no name.
 
-    References are counted down to distinct names first, so a name that a third
-    of them share is looked up once and joined back by AQE's skew handling.
+    Definitions are counted down to one row a reference before they meet, so a
+    name that a third of the references share is left to AQE's skew handling.
     """
-    whole, by_file = counts(forward)
-    names = refs.select(F.col(ref_col).alias("_ref")).distinct().withColumn("_q", grammar.qualifier(F.col("_ref")))
-    whole = whole.select(F.col("anchor").alias("_ref"), F.col("n").alias("_whole"))
-    part = by_file.select(F.col("anchor").alias("_name"), F.col("file").alias("_file"), F.col("n").alias("_part"))
-    found = names.join(whole, "_ref", "left").withColumns({"_name": F.col("_q.name"), "_file": F.col("_q.file")}).join(part, ["_name", "_file"], "left")
-    found = found.select("_ref", F.coalesce("_whole", "_part", F.lit(0)).alias("n_defs"))
-    return refs.join(found, refs[ref_col] == found["_ref"], "left").drop("_ref")
+    found = reference_counts(forward).select(F.col("ref").alias("_ref"), F.col("n").alias("_n"))
+    n = F.when(F.col(ref_col).isNotNull(), F.coalesce("_n", F.lit(0)))
+    return refs.join(found, refs[ref_col] == found["_ref"], "left").withColumn("n_defs", n).drop("_ref", "_n")
 
 
 def resolve(refs: DataFrame, forward: DataFrame, ref_col: str = "ref") -> DataFrame:
-    """A row for each reference and definition: the columns of refs, then anchor, file, start_line, end_line (null if there is none)."""
-    names = refs.select(F.col(ref_col).alias("_ref")).distinct().withColumn("_q", grammar.qualifier(F.col("_ref")))
+    """A row for each reference and definition: the columns of refs, then anchor, file, start_line, end_line (null if there is none).
+
+    Definitions are read once: a reference asks for its whole name and, if it is
+    qualified, for the name in the file too, which counts if the first finds none.
+    """
+    q = grammar.qualifier(F.col("_ref"))
+    ask = lambda rank, name, file: F.struct(F.lit(rank).alias("rank"), name.alias("name"), file.alias("in_file"))
+    names = refs.select(F.col(ref_col).alias("_ref")).distinct()
+    asked = names.select("_ref", F.explode(F.array(ask(0, F.col("_ref"), F.lit(None).cast("string")), ask(1, q["name"], q["file"]))).alias("_a"))
+    asked = asked.select("_ref", F.col("_a.rank").alias("_rank"), F.col("_a.name").alias("_name"), F.col("_a.in_file").alias("_file")).where((F.col("_rank") == 0) | F.col("_file").isNotNull())
     spots = forward.select("anchor", "file", "start_line", "end_line")
-    direct = names.join(spots, F.col("_ref") == F.col("anchor")).select("_ref", "anchor", "file", "start_line", "end_line")
-    missed = names.join(spots.select("anchor").distinct(), F.col("_ref") == F.col("anchor"), "left_anti")
-    narrowed = missed.join(spots, (F.col("_q.name") == F.col("anchor")) & (F.col("_q.file") == F.col("file"))).select("_ref", "anchor", "file", "start_line", "end_line")
-    found = direct.unionByName(narrowed)
+    met = asked.join(spots, (F.col("_name") == F.col("anchor")) & (F.col("_file").isNull() | (F.col("_file") == F.col("file"))))
+    # only a qualified reference has two ranks to choose from; the definitions of any other stay apart, however many they are
+    group = F.when(q["file"].isNull(), F.xxhash64("file", "start_line"))
+    best = met.withColumn("_best", F.min("_rank").over(Window.partitionBy("_ref", group)))
+    found = best.where(F.col("_rank") == F.col("_best")).select("_ref", "anchor", "file", "start_line", "end_line")
     return refs.join(found, refs[ref_col] == found["_ref"], "left").drop("_ref")
 
 
@@ -78,8 +98,7 @@ def locate(positions: DataFrame, forward: DataFrame, all_levels: bool = False, n
     """
     found = nest(positions, forward)
     found = found if all_levels else found.where("innermost")
-    whole, _ = counts(forward if names is None else names)
-    named = found.join(whole, "anchor")
+    named = found.join(counts(forward if names is None else names), "anchor")
     form = minimal_form(F.col("anchor"), F.col("file"), F.col("n"))
     return named.withColumn("form", form).withColumn("marker", grammar.wrap(F.col("form"))).drop("n")
 
@@ -90,8 +109,26 @@ def search_filter(anchor: Column, want: str) -> Column:
     return exact if "#" in want else exact | (grammar.qualifier(anchor)["file"].isNotNull() & (grammar.qualifier(anchor)["name"] == want))
 
 
-#: Definitions sampled for each range of the index's order.
-SAMPLED = 32
+#: Definitions sampled for each range of the index's order, and the sample's seed.
+SAMPLED, SEED = 32, 42
+
+
+def _range(bounds: list[tuple[str, str]]) -> Column:
+    """How many bounds, which ascend, are at most (anchor, location): first among every k-th, then within its stretch."""
+    if not bounds:
+        return F.lit(0)
+    k = math.isqrt(len(bounds))
+    spots = lambda some: F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(b).alias("location")) for a, b in some])
+    at_most = lambda some: F.size(F.filter(some, lambda b: (b["anchor"] < F.col("anchor")) | ((b["anchor"] == F.col("anchor")) & (b["location"] <= F.col("location")))))
+    stretches = F.array(*[spots(bounds[i : i + k]) for i in range(0, len(bounds), k)])
+    # the stretch before the first heading that is above the key
+    before = F.greatest(at_most(spots(bounds[::k])) - 1, F.lit(0))
+    return before * k + at_most(F.get(stretches, before))
+
+
+def places(forward: DataFrame) -> DataFrame:
+    """(anchor, location) of each definition."""
+    return forward.select("anchor", grammar.location(F.col("file"), F.col("start_line"), F.col("end_line")).alias("location"))
 
 
 def ordered(forward: DataFrame) -> DataFrame:
@@ -99,15 +136,15 @@ def ordered(forward: DataFrame) -> DataFrame:
 
     Ranges of (anchor, location) are numbered by themselves and shifted by the
     sizes of those before, so a name that every file has spans many ranges. Their
-    bounds are quantiles of the definitions of least hash: always the same ones.
+    bounds are quantiles of a sample; wherever they lie, the numbers are the same.
+    ``forward``, of which ``places`` may have been taken, is read four times, so it should be stored.
     """
     parts = int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = forward.select("anchor", grammar.location(F.col("file"), F.col("start_line"), F.col("end_line")).alias("location"))
-    key = F.struct("anchor", "location")
-    sample = named.orderBy(F.xxhash64("anchor", "location"), "anchor", "location").limit(SAMPLED * parts).orderBy("anchor", "location").collect()
-    bounds = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-    below = F.array(*[F.struct(F.lit(b["anchor"]).alias("anchor"), F.lit(b["location"]).alias("location")) for b in bounds])
-    ranged = named.withColumn("range", F.size(F.filter(below, lambda b: b <= key)) if bounds else F.lit(0))
+    named = forward if "location" in forward.columns else places(forward)
+    part = min(1.0, SAMPLED * parts / max(named.count(), 1))
+    # Python orders text by code points, which is the order of its UTF-8 bytes
+    sample = sorted(tuple(r) for r in named.where(F.rand(SEED) < part).collect())
+    ranged = named.withColumn("range", _range([sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     own = F.row_number().over(Window.partitionBy("range").orderBy("anchor", "location"))

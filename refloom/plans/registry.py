@@ -91,6 +91,19 @@ def _forward(spark: SparkSession, sf: str, *languages: str) -> DataFrame:
     return extract.anchors(_files(spark, sf), languages or None)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in shared scratch, for queries that read it more than once. Without the optional subpackage, as it is."""
+    try:
+        from refloom.llm.scratch import cut
+    except ImportError:
+        return df
+    return cut(df, name)
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(_forward(spark, sf).repartition("file"), "definitions")
+
+
 _SPOT = "anchor, file, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line"
 for _name, _language in (("anchors_markdown", "markdown"), ("scenarios", "gherkin"), ("python_symbols", "python"), ("rust_symbols", "rust")):
     _query(_name, _facts(f"SELECT {_SPOT}, language FROM defs WHERE language = '{_language}'"))(lambda spark, sf, language=_language: _forward(spark, sf, language))
@@ -116,12 +129,12 @@ def lines_per_file(spark, sf):
 @_query("canonical_order", _facts("SELECT anchor, file || ':' || start_line || '-' || end_line AS location, row_number() OVER (ORDER BY anchor, file || ':' || start_line || '-' || end_line)::BIGINT AS position FROM defs"))
 def canonical_order(spark, sf):
     """The index's order, numbered."""
-    return resolve.ordered(_forward(spark, sf))
+    return resolve.ordered(_stored(resolve.places(_forward(spark, sf)).repartition("location"), "places"))
 
 
 @_query("anchor_multiplicity", _facts("SELECT anchor, count(*) AS n FROM defs GROUP BY anchor HAVING count(*) > 1"))
 def anchor_multiplicity(spark, sf):
-    return resolve.counts(_forward(spark, sf))[0].where("n > 1")
+    return resolve.counts(_forward(spark, sf)).where("n > 1")
 
 
 @_query("index_summary", _facts("SELECT (SELECT count(*) FROM defs) AS anchors, (SELECT count(*) FROM mens) AS mentions, (SELECT count(*) FROM docs) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS files"))
@@ -185,14 +198,13 @@ def at_all_nest(spark, sf):
 
 @_query("at_innermost", _facts(f"SELECT file, line::BIGINT AS line, r.anchor, CASE WHEN n > 1 THEN file || '#' || r.anchor ELSE r.anchor END AS form, '[[rr:' || CASE WHEN n > 1 THEN file || '#' || r.anchor ELSE r.anchor END || ']]' AS marker FROM (SELECT *, rank() OVER (PARTITION BY file, line ORDER BY end_line - start_line, start_line DESC) AS r FROM ({_COVER})) r JOIN whole ON r.anchor = whole.anchor WHERE r = 1"))
 def at_innermost(spark, sf):
-    return resolve.locate(_positions(spark, sf), _forward(spark, sf)).select("file", "line", "anchor", "form", "marker")
+    return resolve.locate(_positions(spark, sf), _index(spark, sf)).select("file", "line", "anchor", "form", "marker")
 
 
 @_query("minimal_form", _facts("SELECT d.anchor, d.file, CASE WHEN n > 1 THEN d.file || '#' || d.anchor ELSE d.anchor END AS form FROM defs d JOIN whole USING (anchor)"))
 def minimal_form(spark, sf):
-    forward = _forward(spark, sf)
-    whole, _ = resolve.counts(forward)
-    return forward.join(whole, "anchor").select("anchor", "file", resolve.minimal_form(F.col("anchor"), F.col("file"), F.col("n")).alias("form"))
+    forward = _index(spark, sf)
+    return forward.join(resolve.counts(forward), "anchor").select("anchor", "file", resolve.minimal_form(F.col("anchor"), F.col("file"), F.col("n")).alias("form"))
 
 
 def _hits(spark, sf):

@@ -1,9 +1,12 @@
 """Registered queries against their SQL where the given tables don't tell right from wrong."""
 
+import bisect
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from refloom.operators import resolve
 from refloom.plans import corpus, registry
 
 
@@ -49,3 +52,29 @@ def test_small_tables_are_dealt_out(spark):
     for kind in corpus.KINDS:
         tasks = corpus.files(spark, SF, kind).select(F.spark_partition_id()).distinct().count()
         assert tasks >= min(4, spark.sparkContext.defaultParallelism), kind
+
+
+def test_ranges_are_found_by_few_comparisons(spark):
+    """Against bisection, for any number of bounds."""
+    rows = [(f"n{i % 7}", f"f{i}:1-2") for i in range(60)]
+    for n in (0, 1, 2, 3, 10, 37):
+        bounds = sorted(rows[::2])[:n]
+        got = spark.createDataFrame(rows, "anchor string, location string").withColumn("r", resolve._range(bounds)).collect()
+        assert all(r.r == bisect.bisect_right(bounds, (r.anchor, r.location)) for r in got), n
+
+
+@pytest.mark.parametrize(("name", "most"), [("canonical_order", 0), ("minimal_form", 0), ("read_unique", 4), ("read_ambiguous", 4), ("read_qualified", 4), ("resolve_batch", 8), ("index_summary", 12)])
+def test_definitions_are_extracted_once(spark, name, most):
+    """A plan reads each table at most once for definitions, once for hits and once for paths; no table, if they are stored."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") - plan.count("Relation [anchor") <= most
+
+
+def test_qualified_names(spark):
+    """A whole name with # comes before the name in a file; a name of many files is looked up once."""
+    forward = spark.createDataFrame([("a#b", "x", 1, 1), ("b", "a", 2, 2), ("b", "c", 3, 3), ("b", "c", 4, 4), ("#", "d#e", 5, 5), ("n", "d#e", 6, 6)], "anchor string, file string, start_line long, end_line long")
+    want = {"a#b": [1], "b": [2, 3, 4], "c#b": [3, 4], "#": [5], "d#e#n": [], "d#": [], "#b": [], "none": [], None: []}
+    refs = spark.createDataFrame([(r,) for r in want], "ref string")
+    got = resolve.resolve(refs, forward).collect()
+    assert {r: sorted(x.start_line for x in got if x.ref == r and x.anchor) for r in want} == want
+    assert {r.ref: r.n_defs for r in resolve.count_definitions(refs, forward, "ref").collect()} == {r: None if r is None else len(v) for r, v in want.items()}
