@@ -18,7 +18,8 @@ _OPEN = r"\[\[rr:"
 MARKER = rf"{_OPEN}{BODY}\]\]"
 MALFORMED = rf"{_OPEN}(?!{BODY}\]\])"
 _LONGEST_BODY = rf"\A{_OPEN}(?:\\[\\\[\]]|[^\\\]\[\t\n\r])*+"
-TOKEN = r"([A-Za-z0-9._/\-]+(?::(?=[0-9]))?)"
+# a whole run of path characters; those without a slash are no paths and are passed over
+TOKEN = r"(?<![A-Za-z0-9._/\-])([A-Za-z0-9._\-]*+/[A-Za-z0-9._/\-]*+(?::(?=[0-9]))?)"
 
 # The reasons given for a malformed marker.
 REASONS = {

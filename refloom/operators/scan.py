@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import grammar
 from refloom.operators.lines import segments
 
 ORDER = ("file", "line", "segment_no", "class", "pos")
+_FIELDS = {"class": "int", "pos": "int", "hit": "string", "raw": "string", "anchor": "string", "reason": "string", "token": "string", "line_ref": "boolean"}
+_HITS = f"array<struct<{','.join(f'{name}:{kind}' for name, kind in _FIELDS.items())}>>"
+
+
+def _hit(kind: int, *values: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in zip(_FIELDS, (F.lit(kind), *values), strict=True)])
 
 
 def hits(files: DataFrame, scan: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -20,34 +26,28 @@ def hits(files: DataFrame, scan: Mapping[str, Sequence[str]] | None = None) -> D
     marker, and for one hit at most; mentions come from prose, outside markers,
     and not after a malformed opener.
     """
-    parts = segments(files, scan).withColumnRenamed("path", "file")
+    # a line without either holds no hit
+    parts = segments(files, scan, lambda text: (F.instr(text, grammar.OPENER) > 0) | (F.instr(text, "/") > 0)).withColumnRenamed("path", "file")
     opened = F.instr("text", grammar.OPENER) > 0
-    marked = parts.where(opened & (~F.col("is_span") | F.col("text").startswith(grammar.OPENER)))
     # a piece from each opener to the next one; a line holds no \n. A marker's body holds no opener, so it is in its piece
-    pieces = F.split(F.regexp_replace("text", r"\[\[rr:", "\n[[rr:"), "\n")
-    pieces = F.slice(pieces, F.lit(2), F.when(F.col("is_span"), 1).otherwise(F.size(pieces)))
-    each = marked.select("file", "line", "segment_no", F.size(F.split("text", r"\[\[rr:")).alias("n"), F.posexplode(pieces).alias("pos", "piece"))
-    raw = F.regexp_extract("piece", rf"\A{grammar.MARKER}", 0)
-    # what is wrong with a malformed one may be that the next opener comes
-    rest = F.when(F.col("pos") + 2 < F.col("n"), F.concat("piece", F.lit(grammar.OPENER))).otherwise(F.col("piece"))
-    what = each.select("file", "line", "segment_no", F.lit(0).alias("class"), "pos", F.when(raw != "", raw).alias("raw"), rest.alias("rest"))
-    what = what.select(
-        "file", "line", "segment_no", "class", "pos",
-        F.when(F.col("raw").isNull(), "malformed").otherwise("marker").alias("hit"),
-        "raw",
-        F.when(F.col("raw").isNotNull(), grammar.name_of(F.col("raw"))).alias("anchor"),
-        F.when(F.col("raw").isNull(), grammar.reason(F.col("rest"))).alias("reason"),
-        F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("boolean").alias("line_ref"),
-    )
-    prose = parts.where(~F.col("is_span") & (F.instr("text", "/") > 0))
+    pieces = F.when(opened & (~F.col("is_span") | F.col("text").startswith(grammar.OPENER)), F.split(F.regexp_replace("text", r"\[\[rr:", "\n[[rr:"), "\n"))
     masked = F.when(opened, F.regexp_replace(F.regexp_replace("text", rf"(?s){grammar.MALFORMED}.*", ""), grammar.MARKER, "[]")).otherwise(F.col("text"))
-    tokens = F.regexp_extract_all(masked, F.lit(grammar.TOKEN), F.lit(1))
-    found = prose.select("file", "line", "segment_no", F.posexplode(tokens).alias("pos", "t"))
-    found = found.select("file", "line", "segment_no", F.lit(1).alias("class"), "pos", F.regexp_replace("t", r"\.*:?\z", "").alias("token"), F.col("t").endswith(":").alias("line_ref"))
-    null = lambda name: F.lit(None).cast("string").alias(name)
-    mentions = found.where(grammar.is_path(F.col("token"))).select("file", "line", "segment_no", "class", "pos", F.lit("mention").alias("hit"), null("raw"), null("anchor"), null("reason"), "token", "line_ref")
-    return what.unionByName(mentions)
+    tokens = F.when(~F.col("is_span") & (F.instr("text", "/") > 0), F.regexp_extract_all(masked, F.lit(grammar.TOKEN), F.lit(1)))
+    parts = parts.select("file", "line", "segment_no", "is_span", pieces.alias("pieces"), tokens.alias("tokens"))
+    # patterns are matched inside the arrays, each once: what is made of a row's columns is worked out anew by every filter that is pushed down
+    wanted = F.slice("pieces", F.lit(2), F.when(F.col("is_span"), 1).otherwise(F.size("pieces")))
+    # what is wrong with a malformed one may be that the next opener comes
+    rest = lambda piece, i: F.when(i + 2 < F.size("pieces"), F.concat(piece, F.lit(grammar.OPENER))).otherwise(piece)
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    marks = F.transform(wanted, lambda piece, i: F.struct(i.alias("pos"), F.regexp_extract(piece, rf"\A{grammar.MARKER}", 0).alias("raw"), rest(piece, i).alias("rest")))
+    good = lambda m, value: F.when(m["raw"] != "", value)
+    marks = F.transform(marks, lambda m: _hit(0, m["pos"], good(m, F.lit("marker")).otherwise("malformed"), good(m, m["raw"]), good(m, grammar.name_of(m["raw"])), F.when(m["raw"] == "", grammar.reason(m["rest"])), text, flag))
+    mentions = F.transform("tokens", lambda token, i: F.struct(i.alias("pos"), F.regexp_replace(token, r"\.*:?\z", "").alias("token"), token.endswith(":").alias("line_ref")))
+    mentions = F.transform(F.filter(mentions, lambda m: grammar.is_path(m["token"])), lambda m: _hit(1, m["pos"], F.lit("mention"), text, text, text, m["token"], m["line_ref"]))
+    none = F.array().cast(_HITS)
+    # the outer kind of explode, for Catalyst infers no filter from it
+    both = F.concat(F.coalesce(marks.cast(_HITS), none), F.coalesce(mentions.cast(_HITS), none))
+    return parts.select("file", "line", "segment_no", F.explode_outer(both).alias("h")).where(F.col("h").isNotNull()).select("file", "line", "segment_no", "h.*")
 
 
 def mention_table(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import grammar
-from refloom.operators.resolve import count_definitions
+from refloom.operators.resolve import reference_counts
 from refloom.operators.scan import hits
 
 # The names of the findings, and how each is worded.
@@ -35,19 +35,36 @@ def findings(files: DataFrame, forward: DataFrame, entries: DataFrame, rules: Se
     first segment is a directory there.
     """
     check_rules(rules)
-    found = hits(files, scan)
-    path_only = ~F.contains(F.col("anchor"), F.lit("#")) & grammar.is_path(F.col("anchor"))
-    markers = count_definitions(found.where("hit <> 'mention'"), forward)
-    rule = F.when(F.col("hit") == "malformed", "malformed-marker").when(path_only, "path-only-marker").when(F.col("n_defs") == 0, "dangling-marker").when(F.col("n_defs") > 1, "ambiguous-marker")
-    detail = F.when(F.col("hit") == "malformed", F.col("reason")).when(rule == "ambiguous-marker", F.concat("raw", F.lit(" resolves to "), F.col("n_defs").cast("string"), F.lit(" definitions"))).otherwise(F.col("raw"))
-    place = ["file", "line", "segment_no", "class", "pos"]
-    out = markers.select(*place, rule.alias("rule"), detail.alias("detail"))
-    dirs = entries.where("is_dir").select(F.col("path").alias("_dir")).distinct()
-    mentions = found.where("hit = 'mention'").withColumn("_first", F.substring_index("token", "/", 1)).join(dirs, F.col("_first") == F.col("_dir"), "left_semi")
-    known = entries.select(F.col("path").alias("_path")).distinct()
-    present = mentions.join(known, F.col("token") == F.col("_path"), "left")
-    rule = F.when(F.col("line_ref"), "path-line").when(F.col("_path").isNull(), "stale-mention")
-    out = out.unionByName(present.select(*place, rule.alias("rule"), F.col("token").alias("detail"))).where(F.col("rule").isin(*rules) if rules else F.lit(False))
+    asked = lambda *names: bool({*names} & {*rules})
+    count, look = asked("dangling-marker", "ambiguous-marker"), asked("stale-mention")
+    kind, is_mention = F.col("hit"), F.col("hit") == "mention"
+    path_only = (F.instr("anchor", "/") > 0) & ~F.contains(F.col("anchor"), F.lit("#")) & grammar.is_path(F.col("anchor"))
+    seen = F.when(kind == "malformed", "malformed-marker").when((kind == "marker") & path_only, "path-only-marker").when(is_mention & F.col("line_ref"), "path-line")
+    found = hits(files, scan).withColumn("_seen", seen)
+    open_ones = F.col("_seen").isNull() & ((F.lit(count) & (kind == "marker")) | (F.lit(look) & is_mention))
+    found = found.where((F.col("_seen").isin(*rules) if rules else F.lit(False)) | open_ones)
+    if look or asked("path-line"):
+        # a first segment is a folder of the top, and those are few
+        top = F.broadcast(entries.where(F.col("is_dir") & (F.instr("path", "/") == 0)).select(F.col("path").alias("_dir")).distinct())
+        found = found.join(top, is_mention & (F.substring_index("token", "/", 1) == F.col("_dir")), "left").where(~is_mention | F.col("_dir").isNotNull())
+    # what a marker or mention may find, in one table that hits meet once; those already judged look for nothing, spread by file
+    known = None
+    if count:
+        known = reference_counts(forward).select(F.lit("marker").alias("_kind"), F.col("ref").alias("_key"), "n")
+    if look:
+        paths = entries.select(F.lit("mention").alias("_kind"), F.col("path").alias("_key"), F.lit(1).cast("bigint").alias("n")).distinct()
+        known = paths if known is None else known.unionByName(paths)
+    if known is None:
+        found = found.withColumn("n", F.lit(None).cast("bigint"))
+    else:
+        of, by = F.when(F.col("_seen").isNull(), kind).otherwise("none"), F.when(F.col("_seen").isNotNull(), F.col("file")).when(is_mention, F.col("token")).otherwise(F.col("anchor"))
+        found = found.withColumns({"_of": of, "_by": by}).join(known, (F.col("_of") == F.col("_kind")) & (F.col("_by") == F.col("_key")), "left")
+    rule = F.when(F.col("_seen").isNotNull(), F.col("_seen")).when(is_mention, F.when(F.col("n").isNull(), "stale-mention"))
+    rule = rule.when(F.col("n").isNull(), "dangling-marker").when(F.col("n") > 1, "ambiguous-marker")
+    detail = F.when(is_mention, F.col("token")).when(kind == "malformed", F.col("reason")).otherwise(F.col("raw"))
+    detail = F.when(F.col("rule") == "ambiguous-marker", F.concat("raw", F.lit(" resolves to "), F.col("n").cast("string"), F.lit(" definitions"))).otherwise(detail)
+    out = found.withColumn("rule", rule).select("file", "line", "segment_no", "class", "pos", "rule", detail.alias("detail"))
+    out = out.where(F.col("rule").isin(*rules) if rules else F.lit(False))
     wording = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
     return out.withColumn("text", wording[F.col("rule")])
 

@@ -78,3 +78,10 @@ def test_qualified_names(spark):
     got = resolve.resolve(refs, forward).collect()
     assert {r: sorted(x.start_line for x in got if x.ref == r and x.anchor) for r in want} == want
     assert {r.ref: r.n_defs for r in resolve.count_definitions(refs, forward, "ref").collect()} == {r: None if r is None else len(v) for r, v in want.items()}
+
+
+@pytest.mark.parametrize(("rule", "most"), [("malformed_marker", (4, 2)), ("path_only_marker", (4, 2)), ("dangling_marker", (8, 4)), ("ambiguous_marker", (8, 4)), ("rule_subset", (20, 4)), ("counts", (20, 4)), ("all", (20, 4))])
+def test_gate_scans_once_and_reads_what_its_rules_need(spark, rule, most):
+    """Hits once; definitions only to count them; paths (files, their folders, and the top folders) only for mentions."""
+    got = reads(registry.QUERIES[f"verify_{rule}"](spark, SF))
+    assert got[0] <= most[0] and got[1] <= most[1], got
